@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citadine.llm import bpe, exact, quality, runs
+from citadine.llm import bpe, exact, mixing, quality, runs, sharding
 from citadine.session import ready
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,6 +29,8 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": lambda spark, d: runs.op2(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact.op3(documents(spark, d)),
+    "op5_mixing": lambda spark, d: mixing.op5(documents(spark, d)),
+    "op7_sharding": lambda spark, d: sharding.op7(documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality.op8(documents(spark, d)),
     "op9_bpe": lambda spark, d: bpe.op9(documents(spark, d), tokenizer()),
 }
