@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citadine.llm import bpe, exact, mixing, quality, runs, sharding
+from citadine.llm import bpe, exact, mixing, quality, runs, sharding, suffixes
 from citadine.session import ready
 
 TOKENIZERS = "/opt/tokenizers"
@@ -33,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sharding": lambda spark, d: sharding.op7(documents(spark, d)),
     "op8_quality_rules": lambda spark, d: quality.op8(documents(spark, d)),
     "op9_bpe": lambda spark, d: bpe.op9(documents(spark, d), tokenizer()),
+    "op10_substring_dedup": lambda spark, d: suffixes.op10(documents(spark, d)),
 }
 
 ORACLES: dict[str, str] = {"op2_line_dedup": runs.ORACLE, "op3_exact_dedup": exact.ORACLE}
