@@ -42,8 +42,8 @@ def twice(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 class Dealer:
     """Collects entries of a mapper and gives them away as rows of DEALT."""
 
-    def __init__(self, groups: int, group_of: Callable[..., np.ndarray], limit: int = 400_000):
-        self.groups, self.group_of, self.limit = groups, group_of, limit
+    def __init__(self, groups: int, group_of: Callable[..., np.ndarray], limit: int = 400_000, keep_keys: bool = False):
+        self.groups, self.group_of, self.limit, self.keep_keys = groups, group_of, limit, keep_keys
         self.held: list[tuple[np.ndarray, ...]] = []
         self.n = self.given = 0
 
@@ -61,7 +61,8 @@ class Dealer:
         rows: list[tuple] = []
         settled = state > 0
         if settled.any():
-            rows.append((self.groups + self.given % self.groups, True, b"", *packed(d[settled], t[settled], pos[settled])))
+            keys = hi[settled].tobytes() + lo[settled].astype(U32).tobytes() if self.keep_keys else b""
+            rows.append((self.groups + self.given % self.groups, True, keys, *packed(d[settled], t[settled], pos[settled])))
         self.given += 1
         alone, witness = np.flatnonzero(state == 0), np.flatnonzero(state == 1)
         at = np.concatenate([alone, witness])

@@ -45,7 +45,7 @@ def drop(*frames: DataFrame) -> None:
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a frame's size; used to choose numbers of partitions only."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size.toString())
+    return int(str(size))
 
 
 def partitions(spark: SparkSession) -> int:
