@@ -30,7 +30,7 @@ CLOSING[list(b".!?")] = True
 LETTER = np.zeros(256, bool)
 LETTER[list(range(65, 91)) + list(range(97, 123)) + list(range(0xC0, 0x100))] = True
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_closed long, n_lettered long"
+COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_closed long, n_lettered long"
 
 #: name, value, good from/to, bad below/above: a rule votes good inside the first range, bad outside the second, and abstains between.
 RULES = (
@@ -45,33 +45,38 @@ RULES = (
 )
 
 
-def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in words.pieces(batches):
-        raw, offsets = words.text_bytes(piece.column("text"))
-        starts, ends, firsts = words.word_spans(raw, offsets)
-        n_docs, owner = len(offsets) - 1, words.document_of(firsts)
-        hashes = words.span_hashes(raw, starts, ends)
-        lines = words.line_spans(raw, offsets)
-        worded = words.sums(~words.SPACE[raw], np.append(lines[0], len(raw)))[: len(lines[0])] > 0 if len(raw) else np.zeros(n_docs, bool)
-        line_keys = words.mixed(words.span_hashes(raw, lines[0], lines[1]) ^ words.mixed(lines[2].astype(np.uint64) + words.BASE))
-        line_keys, line_owner = line_keys[worded], lines[2][worded]
-        _, first = np.unique(line_keys, return_index=True)
-        n_lines = np.bincount(line_owner, minlength=n_docs)
-        windows = words.grams(hashes, 3)
-        at = np.flatnonzero(owner[: len(windows)] == owner[2:]) if len(windows) else np.zeros(0, np.int64)
-        twice = at[words.repeated(words.mixed(windows[at] ^ words.mixed(owner[at].astype(np.uint64) + words.BASE)))]
-        letters = np.concatenate([[0], np.cumsum(LETTER[raw], dtype=np.int64)])
-        columns = [
-            np.diff(firsts),
-            words.sums(~words.SPACE[raw] & ((raw & 0xC0) != 0x80), offsets),
-            words.sums(SYMBOL[raw], offsets),
-            n_lines - np.bincount(line_owner[first], minlength=n_docs),
-            words.sums(words.covered(twice, 3, len(starts)), firsts),
-            n_lines,
-            words.sums(CLOSING[raw[ends - 1]] if len(ends) else np.zeros(0, bool), firsts),
-            words.sums(letters[ends] > letters[starts], firsts),
-        ]
-        yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, pa.int64()) for x in columns)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+def features(passed: str):
+    """A mapper from text to its counts; the column ``passed`` goes with them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in words.pieces(batches):
+            raw, offsets = words.text_bytes(piece.column("text"))
+            starts, ends, firsts = words.word_spans(raw, offsets)
+            n_docs, owner = len(offsets) - 1, words.document_of(firsts)
+            hashes = words.span_hashes(raw, starts, ends)
+            lines = words.line_spans(raw, offsets)
+            worded = words.sums(~words.SPACE[raw], np.append(lines[0], len(raw)))[: len(lines[0])] > 0 if len(raw) else np.zeros(n_docs, bool)
+            line_keys = words.mixed(words.span_hashes(raw, lines[0], lines[1]) ^ words.mixed(lines[2].astype(np.uint64) + words.BASE))
+            line_keys, line_owner = line_keys[worded], lines[2][worded]
+            _, first = np.unique(line_keys, return_index=True)
+            n_lines = np.bincount(line_owner, minlength=n_docs)
+            windows = words.grams(hashes, 3)
+            at = np.flatnonzero(owner[: len(windows)] == owner[2:]) if len(windows) else np.zeros(0, np.int64)
+            twice = at[words.repeated(words.mixed(windows[at] ^ words.mixed(owner[at].astype(np.uint64) + words.BASE)))]
+            letters = np.concatenate([[0], np.cumsum(LETTER[raw], dtype=np.int64)])
+            columns = [
+                np.diff(firsts),
+                words.sums(~words.SPACE[raw] & ((raw & 0xC0) != 0x80), offsets),
+                words.sums(SYMBOL[raw], offsets),
+                n_lines - np.bincount(line_owner[first], minlength=n_docs),
+                words.sums(words.covered(twice, 3, len(starts)), firsts),
+                n_lines,
+                words.sums(CLOSING[raw[ends - 1]] if len(ends) else np.zeros(0, bool), firsts),
+                words.sums(letters[ends] > letters[starts], firsts),
+            ]
+            yield pa.RecordBatch.from_arrays([piece.column(passed), *(pa.array(x, pa.int64()) for x in columns)], names=[passed, *(x.split()[0] for x in COUNTS.split(", "))])
+
+    return run
 
 
 def votes(rules=RULES):
@@ -112,21 +117,38 @@ def posteriors(patterns: list[tuple[int, ...]], counts: list[int], rounds: int =
     return np.round(good, 9)
 
 
-def quality(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """One row per document: the counts, ``quality`` (posterior probability), ``base_failed`` and ``kept``."""
-    spark = docs.sparkSession
-    counted = docs.select("doc_id", "text").mapInArrow(features, SCHEMA)
-    judged = scratch.table(
-        counted.withColumn("votes", votes(rules)).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")),
-        "quality",
-    )
-    seen = judged.groupBy("votes").count().collect()  # at most 3 ** len(rules) rows
+def counted(rows: DataFrame, passed: str, rules=RULES) -> DataFrame:
+    """The counts of ``rows`` (a column ``passed``, and text) with the rules' votes and base_failed."""
+    out = rows.select(passed, "text").mapInArrow(features(passed), f"{rows.schema[passed].name} {rows.schema[passed].dataType.simpleString()}, {COUNTS}")
+    return out.withColumn("votes", votes(rules)).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
+
+
+def learned(judged: DataFrame) -> DataFrame:
+    """quality of each pattern of votes among the documents; at most 3 ** len(rules) rows."""
+    seen = judged.groupBy("votes").count().collect()
     seen.sort(key=lambda r: tuple(r["votes"]))
     good = posteriors([tuple(r["votes"]) for r in seen], [r["count"] for r in seen])
-    learned = spark.createDataFrame([(list(r["votes"]), float(p)) for r, p in zip(seen, good, strict=True)], "votes array<int>, quality double")
-    out = judged.join(F.broadcast(learned), "votes", "left")
+    return judged.sparkSession.createDataFrame([(list(r["votes"]), float(p)) for r, p in zip(seen, good, strict=True)], "votes array<int>, quality double")
+
+
+def verdict(judged: DataFrame, patterns: DataFrame, threshold: float) -> DataFrame:
+    out = judged.join(F.broadcast(patterns), "votes", "left")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
+def quality(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """One row per document: the counts, ``quality`` (posterior probability), ``base_failed`` and ``kept``."""
+    judged = scratch.table(counted(docs.select("doc_id", "text"), "doc_id", rules), "quality")
+    return verdict(judged, learned(judged), threshold)
+
+
 def op8(docs: DataFrame) -> DataFrame:
     return quality(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+def keep(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """The documents that the verdict keeps, all columns as they were. Texts are read twice instead of being shuffled."""
+    patterns = learned(scratch.table(counted(docs.select("doc_id", "text"), "doc_id", rules).select("votes"), "votes"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = counted(docs.select(row, F.col("text")), "row", rules)
+    return verdict(judged, patterns, threshold).where("kept").select("row.*")

@@ -7,7 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from citadine.llm import bpe, exact, mixing, near, pii, quality, runs, sharding, suffixes
+from citadine.llm import bpe, exact, licenses, mixing, near, pii, quality, runs, sharding, suffixes
 from citadine.session import ready
 
 TOKENIZERS = "/opt/tokenizers"
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": lambda spark, d: pii.op1(documents(spark, d)),
     "op2_line_dedup": lambda spark, d: runs.op2(documents(spark, d)),
     "op3_exact_dedup": lambda spark, d: exact.op3(documents(spark, d)),
+    "op4_license_scan": lambda spark, d: licenses.op4(documents(spark, d)),
     "op5_mixing": lambda spark, d: mixing.op5(documents(spark, d)),
     "op6_ngram_jaccard": lambda spark, d: near.op6(documents(spark, d)),
     "op7_sharding": lambda spark, d: sharding.op7(documents(spark, d)),

@@ -50,9 +50,9 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word, and the index of each document's first word (one entry more than documents)."""
-    solid = ~SPACE[raw]
+    solid = ~gaps[raw]
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
     begins = solid.copy()

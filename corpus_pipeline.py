@@ -1,10 +1,54 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
 
-from citadine.llm import queries
+from __future__ import annotations
+
+from citadine.llm import bpe, mixing, near, quality, queries, runs, scratch
+from citadine.session import ready
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Operator 8: the documents that its verdict keeps."""
+    return quality.keep(docs)
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Operator 2: texts without the lines that it drops; n_chars follows the text."""
+    return runs.without_repeated_lines(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """Operator 6: the smallest doc_id of each group of linked documents."""
+    return near.representatives(docs)
+
+
+def mix(spark, docs, sf_dir):
+    """Operator 5: each document as often as the mix takes any of it whole or in part; documents it doesn't take go."""
+    return mixing.mixed(docs)
+
+
+def encode(spark, docs, sf_dir):
+    """Operator 9: the ids of each document, and the text decoded from them."""
+    return bpe.bpe(docs, queries.tokenizer())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram jaccard join", near_duplicates),
+    ("mixing sources", mix),
+    ("bpe", encode),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return queries.documents(spark, sf_dir)
+    """Documents through all stages."""
+    docs = queries.documents(ready(spark), sf_dir)
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = scratch.table(docs, name.replace(" ", "-"))
+    return docs
