@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from citadine.plans import contrasts, exploring, features, ingest, network, regions, registry  # noqa: F401  they register their queries
+from citadine.session import ready
+
 
 def queries():
-    return {}
+    return {name: (lambda spark, d, f=f: f(ready(spark), d)) for name, f in registry.QUERIES.items()}
 
 
 def oracle_sql():
-    return {}
+    return dict(registry.ORACLES)

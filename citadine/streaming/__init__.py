@@ -1 +1 @@
-
+"""Extension: incidents as a stream."""
