@@ -57,6 +57,10 @@ class Dealer:
     def flush(self) -> pa.RecordBatch:
         hi, lo, d, t, pos, *hints = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.n = [], 0
+        if self.keep_keys:  # a document of several pieces that holds a key, such as equal groups, counts once
+            order = np.lexsort((t, d, hi))
+            once = np.sort(order[runs_of(hi[order], d[order], t[order])])
+            hi, lo, d, t, pos, *hints = (x[once] for x in (hi, lo, d, t, pos, *hints))
         state = twice(hi, lo)
         rows: list[tuple] = []
         settled = state > 0

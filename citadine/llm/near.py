@@ -3,14 +3,15 @@
 1. All shingles are counted in a table of fixed size; its logarithmic classes order the shingles, rare ones first. The order only decides
    how much work there is: any order common to all documents gives the same links.
 2. Documents with equal sets are one class, and classes with equal size and prefix one group. A document of n shingles has a prefix of its
-   first n - ceil(0.8 n) + 1 + e, with e = n // 20: linked documents share at least 1 + e prefix shingles of the smaller e. So pairs
-   of groups that share fewer, or differ too much in size, are left out.
+   first p = n - ceil(0.8 n) + 1 + n // 20. Linked documents of n and m shingles have 4 (n + m) / 9 in common, and outside their prefixes no
+   more than the larger of n - p(n) and m - p(m); so the rest must be among their prefixes. Pairs of groups that share fewer prefix shingles, or
+   differ too much in size, are left out; so are groups that share too few with any other.
 3. Pairs of groups are expanded to pairs of their classes, and the whole sets are intersected.
 
 Large groups of near copies would have pairs without number, and most would tell nothing new. So pairs come in rounds. First each prefix shingle offers
-pairs of one random holder with all others, and their links are contracted to components; pairs within a component need no
-verification, since components are all that is asked for. When the pairs left between different components are few for the number of shingles, or
-rounds no longer help, all of those are verified, whatever their number; so no link between components is lost.
+pairs of one holder with all others: of the one that shares most of its prefix, the likely centre of a group of copies, and then of a random
+one. Their links are contracted to components; pairs within a component need no verification, since components are all that is asked for. At
+last all pairs left between different components are verified, whatever their number; so no link between components is lost.
 
 Null, empty and blank texts have no shingles and are linked with nothing. A text of one to four words is one shingle. Each row is a
 document; rows may share a doc_id; a null doc_id is never the smallest. Extra columns are ignored by op6 and kept by representatives.
@@ -193,12 +194,21 @@ def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([piece.column("cid"), pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(keys.view(np.int64)))], names=["cid", "items"])
 
 
-def fits(a: str, b: str):
+def prefix_sql(n: str) -> str:
+    return f"least({n}, {n} - (4 * {n} + 4) div 5 + 1 + {n} div {EXTRA})"
+
+
+def fits(a: str, b: str) -> str:
     """Sizes of two sets that may be linked."""
-    return F.expr(f"5L * least({a}, {b}) >= 4L * greatest({a}, {b})")
+    return f"5L * least({a}, {b}) >= 4L * greatest({a}, {b})"
+
 
+def needed(a: str, b: str) -> str:
+    """How many prefix shingles linked sets of these sizes share at least."""
+    return f"greatest(1L, (4L * ({a} + {b}) + 8) div 9 - greatest({a} - {prefix_sql(a)}, {b} - {prefix_sql(b)}))"
 
-def linked(docs: DataFrame, most_rounds: int = 3) -> DataFrame:
+
+def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, d, t (the row's key), n_shingles, cid (its class) and component (null without links)."""
     base = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"))
     sets = scratch.table(base.mapInArrow(_sets, SETS), "sets")
@@ -219,10 +229,14 @@ def linked(docs: DataFrame, most_rounds: int = 3) -> DataFrame:
     members = scratch.table(members, "members")
     held = entries.where("kind = 0").join(groups.drop("members"), ["g1", "g2", "n"]).select("token", "gid", "n")
     held = scratch.table(held, "held")
-    scratch.drop(entries, groups)
+    shared = held.groupBy("gid").agg(F.count("*").alias("r")).withColumnRenamed("gid", "g0")
+    once = scratch.table(held.join(shared, held.gid == shared.g0).select("token", "gid", "n", "r"), "held")
+    scratch.drop(entries, groups, held)
+    held = once
 
     # sets of the classes that can be in a pair at all
-    able = held.groupBy("gid", "n").count().where("count >= 1 + floor(floor(4 * n / 5) / 20)").select("gid").unionByName(members.where("members > 1").select("gid").distinct()).distinct()
+    fewest = f"least({needed('n', '(4 * n + 4) div 5')}, {needed('n', '5 * n div 4')}, {needed('n', 'n')})"  # it rises up to equal sizes and falls from there, but for rounding
+    able = held.where(f"r + 2 >= {fewest}").select("gid").distinct().unionByName(members.where("members > 1").select("gid").distinct()).distinct()
     wanted = members.join(able, "gid", "left_semi").select("cid", F.col("d").alias("d2"), F.col("t").alias("t2"))
     texts = base.select("d", "t", "text").join(wanted, (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2"))).select("cid", "text")
     whole = scratch.table(texts.mapInArrow(_whole_sets, "cid long, items array<long>").dropDuplicates(["cid"]), "whole-sets")
@@ -242,29 +256,25 @@ def linked(docs: DataFrame, most_rounds: int = 3) -> DataFrame:
     inner = members.where("members > 1").select(F.col("gid").alias("p"), F.col("gid").alias("q")).distinct()
     links = scratch.table(verified(expanded(inner)), "links")
     found = components(links)
-    spread = None
-    for turn in range(most_rounds + 1):
+    for turn in range(rounds + 1):
         # a group has the component of its classes if it is the same for all, else none that another group could have
         own = members.join(found, members.cid == found.id, "left").groupBy("gid").agg(F.min(F.coalesce("component", "cid")).alias("lo"), F.max(F.coalesce("component", "cid")).alias("hi"))
         own = own.select(F.col("gid").alias("g"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("part"))
-        parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "part")
+        parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "r", "part")
         counted = parted.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
-        open_tokens = scratch.table(counted.where("all * all > within").withColumn("pairs", (F.col("all") * F.col("all") - F.col("within")) / 2), "open")
-        total, entries_left = open_tokens.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("all"), F.lit(0))).first()
-        if not total:
-            break
-        parted = scratch.table(parted.join(open_tokens.select("token"), "token", "left_semi"), "parted")
-        scratch.drop(open_tokens)
-        last = turn == most_rounds or total <= 2 * entries_left or (spread is not None and total > 0.7 * spread)
-        spread = total
+        parted = scratch.table(parted.join(counted.where("all * all > within").select("token"), "token", "left_semi"), "parted")
+        last = turn == rounds
         if last:
-            other = parted.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("part").alias("part2"))
-            pairs = parted.withColumnRenamed("gid", "p").join(other, "token").where((F.col("p") < F.col("q")) & (F.col("part") != F.col("part2")) & fits("n", "m"))
+            other = parted.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("part").alias("part2"))
+            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2"))
         else:
-            first = parted.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "gid"), "gid", "n", "part")).alias("first")).select("token", F.col("first.gid").alias("q"), F.col("first.n").alias("m"), F.col("first.part").alias("part2"))
-            pairs = parted.withColumnRenamed("gid", "p").join(first, "token").where((F.col("part") != F.col("part2")) & fits("n", "m"))
-            pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "n", "m")
-        near = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min(F.least("n", "m")).alias("small")).where(f"common >= 1 + floor(small / {EXTRA})").select("p", "q")
+            order = [F.lit(0.0) if turn else -F.col("r") / F.expr(prefix_sql("n")), F.xxhash64(F.lit(turn), "gid")]
+            first = parted.groupBy("token").agg(F.min(F.struct(*order, "gid", "n", "r", "part")).alias("first"))
+            other = first.select("token", F.col("first.gid").alias("q"), F.col("first.n").alias("m"), F.col("first.r").alias("s"), F.col("first.part").alias("part2"))
+            apart = F.col("part") != F.col("part2")
+        pairs = parted.withColumnRenamed("gid", "p").join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and least(r, s) >= {needed('n', 'm')}"))
+        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"))
+        near = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least")).where("common >= least").select("p", "q")
         more = scratch.table(verified(expanded(near)), "links")
         links = links.unionByName(more)
         scratch.drop(parted, found)
