@@ -65,8 +65,8 @@ def arcs_within(nodes: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
     return ends.join(arcs.select("src", "dst"), "src").join(nodes.select(*by, F.col("node_id").alias("dst")), [*by, "dst"]).select(*by, "src", "dst")
 
 
-def segment(field: DataFrame, arcs: DataFrame, by: list[str], alpha: float, floor: float) -> DataFrame:
-    """Regions of each group's field: by..., peak, node_id, persistence, peak_f."""
+def segment(field: DataFrame, arcs: DataFrame, by: list[str], alpha: float | str, floor: float) -> DataFrame:
+    """Regions of each group's field: by..., peak, node_id, persistence, peak_f. ``alpha`` may be one of the group's columns."""
     from citadine.operators.field import above_floor
 
     kept = above_floor(field.where("f > 0"), floor, by)
@@ -75,7 +75,7 @@ def segment(field: DataFrame, arcs: DataFrame, by: list[str], alpha: float, floo
         if heights.empty:
             return pd.DataFrame(columns=[*by, "peak", "node_id", "persistence", "peak_f"])
         height = dict(zip(heights["node_id"].tolist(), heights["f"].round(9).tolist()))
-        home, persistence = sweep(height, _pairs(pairs), alpha * max(height.values()))
+        home, persistence = sweep(height, _pairs(pairs), (heights[alpha].iloc[0] if isinstance(alpha, str) else alpha) * max(height.values()))
         rows = pd.DataFrame({"peak": list(home.values()), "node_id": list(home)})
         rows["persistence"], rows["peak_f"] = rows["peak"].map(persistence), rows["peak"].map(height)
         for c in by:

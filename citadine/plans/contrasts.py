@@ -10,7 +10,7 @@ from citadine.operators import network, tracking
 from citadine.plans.features import DIMS, STRUCT, descriptors, profile
 from citadine.plans.regions import extract_hotspots
 from citadine.plans.registry import query
-from citadine.plans.surrogate import counts, edges, nodes, sql, table
+from citadine.plans.surrogate import counts, edges, incidents, nodes, sql, table
 
 HOT = "hot AS (SELECT mes, zone, node_id, dense_rank() OVER (ORDER BY mes) - 1 AS t FROM counts JOIN nodes USING (node_id) WHERE c >= 1)"
 
@@ -130,8 +130,6 @@ DET = "det AS (SELECT mes, node_id FROM counts WHERE c >= 2), tru AS (SELECT DIS
 
 
 def scores(spark, d):
-    from citadine.plans.surrogate import incidents
-
     detected = counts(spark, d).where("c >= 2").select("mes", "node_id")
     truth = incidents(spark, d).where("tipo in ('1-URGENT', '2-HIGH')").select("mes", "node_id").distinct()
     months = counts(spark, d).select("mes").distinct()
@@ -153,9 +151,9 @@ def score_stats(spark, d):
     return scores(spark, d).agg(F.round(mean, 6).alias("mean"), F.round(sd, 6).alias("sd"), F.round(sd / mean, 6).alias("cv"))
 
 
-@query("set_intersection", sql("SELECT node_id FROM counts WHERE c >= 2 INTERSECT SELECT node_id FROM nodes WHERE zone < 20"))
+@query("set_intersection", sql("SELECT node_id FROM counts WHERE c >= 2 INTERSECT SELECT node_id FROM incidents WHERE tipo = '1-URGENT'"))
 def set_intersection(spark, d):
-    return counts(spark, d).where("c >= 2").select("node_id").intersect(nodes(spark, d).where("zone < 20").select("node_id"))
+    return counts(spark, d).where("c >= 2").select("node_id").intersect(incidents(spark, d).where("tipo = '1-URGENT'").select("node_id"))
 
 
 @query("set_remainder", sql("SELECT node_id FROM nodes EXCEPT SELECT node_id FROM counts WHERE c >= 2"))

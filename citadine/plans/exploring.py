@@ -46,14 +46,14 @@ def eda_funnel(spark, d):
     return out.agg(F.count("*").alias("documents"), F.count("labelled_id").alias("labelled"), F.count_if(F.col("quality") == 1).alias("good"), F.count_if((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("clean"))
 
 
-@query("filtered_totals", sql("SELECT tipo, count(*) AS n FROM incidents WHERE mes BETWEEN '1993-06' AND '1995-05' AND tipo <> '5-LOW' GROUP BY tipo"))
+@query("filtered_totals", sql("SELECT tipo, count(*) AS n FROM incidents WHERE mes BETWEEN '1996-06' AND '1998-05' AND tipo <> '5-LOW' GROUP BY tipo"))
 def filtered_totals(spark, d):
-    return incidents(spark, d).where("mes between '1993-06' and '1995-05' and tipo <> '5-LOW'").groupBy("tipo").agg(F.count("*").alias("n"))
+    return incidents(spark, d).where("mes between '1996-06' and '1998-05' and tipo <> '5-LOW'").groupBy("tipo").agg(F.count("*").alias("n"))
 
 
-@query("filtered_node_load", sql("SELECT node_id, count(*) AS n FROM incidents WHERE mes BETWEEN '1993-06' AND '1995-05' AND tipo IN ('1-URGENT', '3-MEDIUM') GROUP BY node_id"))
+@query("filtered_node_load", sql("SELECT node_id, count(*) AS n FROM incidents WHERE mes BETWEEN '1996-06' AND '1998-05' AND tipo IN ('1-URGENT', '3-MEDIUM') GROUP BY node_id"))
 def filtered_node_load(spark, d):
-    return incidents(spark, d).where("mes between '1993-06' and '1995-05' and tipo in ('1-URGENT', '3-MEDIUM')").groupBy("node_id").agg(F.count("*").alias("n"))
+    return incidents(spark, d).where("mes between '1996-06' and '1998-05' and tipo in ('1-URGENT', '3-MEDIUM')").groupBy("node_id").agg(F.count("*").alias("n"))
 
 
 @query("dense_node_load", sql("SELECT n.node_id, coalesce(sum(c), 0)::BIGINT AS c FROM nodes n LEFT JOIN counts USING (node_id) GROUP BY n.node_id"))
@@ -68,10 +68,10 @@ def global_timeline(spark, d):
     return counts(spark, d).groupBy("mes").agg(F.sum("c").alias("n")).join(marked, "mes", "left").fillna(0, ["marked"])
 
 
-@query("focus_set", sql("SELECT DISTINCT zone, mes FROM counts JOIN nodes USING (node_id) WHERE zone IN (SELECT DISTINCT zone FROM nodes WHERE x < 1500 AND y < 800) AND mes BETWEEN '1994-01' AND '1994-12'"))
+@query("focus_set", sql("SELECT DISTINCT zone, mes FROM counts JOIN nodes USING (node_id) WHERE zone IN (SELECT DISTINCT zone FROM nodes WHERE x < 1500 AND y < 800) AND mes BETWEEN '1997-01' AND '1997-12'"))
 def focus_set(spark, d):
     focus = nodes(spark, d).where("x < 1500 and y < 800").select("zone").distinct()
-    return counts(spark, d).where("mes between '1994-01' and '1994-12'").join(nodes(spark, d).select("node_id", "zone"), "node_id").join(focus, "zone", "left_semi").select("zone", "mes").distinct()
+    return counts(spark, d).where("mes between '1997-01' and '1997-12'").join(nodes(spark, d).select("node_id", "zone"), "node_id").join(focus, "zone", "left_semi").select("zone", "mes").distinct()
 
 
 OFFSETS, CELL, SPREAD = range(-3, 4), 200.0, 200.0

@@ -162,9 +162,9 @@ def cosine_topk_distinct_label(spark, d):
     return nearest(spark, d, True)
 
 
-@query("jaccard_pairs", "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem WHERE l_linenumber <= 3), n AS (SELECT k, count(*) AS n FROM b GROUP BY k) SELECT x.k AS a, y.k AS b, count(*) AS common, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM b x JOIN b y ON x.i = y.i AND x.k < y.k JOIN n p ON p.k = x.k JOIN n q ON q.k = y.k GROUP BY x.k, y.k HAVING count(*) >= 2")
+@query("jaccard_pairs", "WITH b AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS i FROM lineitem), n AS (SELECT k, count(*) AS n FROM b GROUP BY k) SELECT x.k AS a, y.k AS b, count(*) AS common, round(count(*) / (any_value(p.n) + any_value(q.n) - count(*)), 6) AS jaccard FROM b x JOIN b y ON x.i = y.i AND x.k < y.k JOIN n p ON p.k = x.k JOIN n q ON q.k = y.k GROUP BY x.k, y.k HAVING count(*) >= 2")
 def jaccard_pairs(spark, d):
-    baskets = table(spark, d, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("i"))
+    baskets = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("i"))
     return describing.jaccard_pairs(baskets, "k", "i", 2).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -202,7 +202,7 @@ def scattering(spark, d):
 
 @query("wwl")
 def wwl(spark, d):
-    return embedding.wasserstein_pairs(zone_labels(spark, d, 2).where("zone < 30"), "zone")
+    return embedding.wasserstein_pairs(zone_labels(spark, d, 2), "zone")
 
 
 @query("pca_2d")

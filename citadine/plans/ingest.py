@@ -49,7 +49,7 @@ def validate_rows(spark, d):
 @query(
     "validation_report",
     f"""WITH r AS (SELECT *, {REASON_SQL} AS reason, upper(trim(coalesce(crimen, ''))) = 'P' AS ex, row_number() OVER (PARTITION BY district, mes, tipo, crimen ORDER BY id) > 1 AS dup,
-    NOT (mes BETWEEN '1993-01' AND '1996-12') AS outside FROM ({RAW_SQL}))
+    NOT (mes BETWEEN '1996-01' AND '1998-12') AS outside FROM ({RAW_SQL}))
     SELECT count(*) AS total_rows, count(*) FILTER (reason IS NULL) AS valid_rows, count(*) FILTER (reason IS NOT NULL) AS discarded_rows, count(*) FILTER (reason IS NULL AND ex) AS excluded_rows,
     count(*) FILTER (reason IS NULL AND NOT ex AND dup) AS duplicate_rows, count(*) FILTER (reason IS NULL AND NOT ex AND NOT dup AND outside) AS filtered_rows,
     count(*) FILTER (reason IS NULL AND NOT ex AND NOT dup AND NOT outside) AS kept_rows FROM r""",
@@ -61,7 +61,7 @@ def validation_report(spark, d):
         {
             "ex": ingest.excluded({"crimen": F.col("crimen")}, {"crimen": ["p"]}, {}),
             "dup": F.row_number().over(Window.partitionBy("district", "mes", "tipo", "crimen").orderBy("id")) > 1,
-            "outside": ~ingest.in_months(F.col("mes"), "1993-01", "1996-12"),
+            "outside": ~ingest.in_months(F.col("mes"), "1996-01", "1998-12"),
         }
     )
     return ingest.report(rows, "reason", "dup", "ex", "outside")
@@ -100,9 +100,9 @@ def scope_filter(spark, d):
     return incidents(spark, d).agg(F.count("*").alias("total"), F.count_if(ingest.in_categories(F.col("tipo"), ["1-urgent ", "2-High"])).alias("kept"))
 
 
-@query("window_filter", "SELECT strftime(o_orderdate, '%Y-%m') AS mes, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') BETWEEN '1994-03' AND '1995-02' GROUP BY ALL")
+@query("window_filter", "SELECT strftime(o_orderdate, '%Y-%m') AS mes, count(*) AS n FROM orders WHERE strftime(o_orderdate, '%Y-%m') BETWEEN '1997-03' AND '1998-02' GROUP BY ALL")
 def window_filter(spark, d):
-    return incidents(spark, d).where(ingest.in_months(F.col("mes"), "1994-03", "1995-02")).groupBy("mes").agg(F.count("*").alias("n"))
+    return incidents(spark, d).where(ingest.in_months(F.col("mes"), "1997-03", "1998-02")).groupBy("mes").agg(F.count("*").alias("n"))
 
 
 @query("source_exclude", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem WHERE NOT upper(trim(l_returnflag)) IN ('R') AND upper(trim(l_linestatus)) IN ('O', 'F') GROUP BY ALL")

@@ -267,8 +267,7 @@ def baseline_bfs(spark, d):
 
 def null_maxima(spark, d, replicates: int = 9, permute: bool = False):
     n = nodes(spark, d).select("node_id", F.col("node_id").alias("idx"))
-    first = counts(spark, d).where("mes < '1992-07'")
-    drawn = regions.null_counts(first, n, ["mes"], replicates, 7, permute)
+    drawn = regions.null_counts(counts(spark, d), n, ["mes"], replicates, 7, permute)
     by = ["mes", "replicate"]
     arcs = network.both_ways(edges(spark, d))
     f = fields.density_field(drawn, distances(spark, d), SIGMA, by)
@@ -291,15 +290,15 @@ def montecarlo_null_permutation(spark, d):
 
 @query("parameter_sweep")
 def parameter_sweep(spark, d):
-    """Coverage and density of the top 20 regions for a grid of parameters; each (sigma, alpha, floor, month) is a task's work."""
-    some, arcs = counts(spark, d).where("mes < '1992-04'"), network.both_ways(edges(spark, d))
-    near = distances(spark, d)
-    total, out = some.agg(F.sum("c")).first()[0], None
-    for sigma in (90.0, 120.0):
-        f = fields.density_field(some, near, sigma, ["mes"])
-        for alpha in (0.1, 0.3):
-            for floor in (0.1, 0.3):
-                top = regions.hotspots(regions.segment(f, arcs, ["mes"], alpha, floor), some, ["mes"]).where("rank <= 20")
-                row = top.agg(F.lit(sigma).alias("sigma"), F.lit(alpha).alias("alpha"), F.lit(floor).alias("f_min"), F.sum("score").alias("captured"), F.sum("n_nodes").alias("nodes"), F.round(F.sum("score") / (total or 1), 5).alias("coverage"), F.round(F.sum("score") / F.sum("n_nodes"), 4).alias("density"))
-                out = row if out is None else out.unionByName(row)
-    return out
+    """Coverage and density of the top 20 regions of every month for a grid of parameters; each (month, sigma, alpha, floor) is one group's work in one plan."""
+    own, arcs, near = counts(spark, d), network.both_ways(edges(spark, d)), distances(spark, d)
+    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("sigma"), F.lit(a).alias("alpha"), F.lit(f).alias("f_min")) for s in (90.0, 120.0) for a in (0.1, 0.3) for f in (0.2,)]))
+    by = ["mes", "sigma", "alpha", "f_min"]
+    each = own.withColumn("g", grid).select("mes", "node_id", "c", "g.*")
+    near = near.withColumn("sigma", F.explode(F.array(F.lit(90.0), F.lit(120.0)))).withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma"))))
+    f = own.join(near, own.node_id == near.src).groupBy("mes", "sigma", F.col("dst").alias("node_id")).agg(F.sum(F.col("c") * F.col("w")).alias("f"))
+    f = f.withColumn("alpha", F.explode(F.array(F.lit(0.1), F.lit(0.3)))).withColumn("f_min", F.lit(0.2))
+    top = regions.hotspots(regions.segment(f, arcs, by, "alpha", 0.2), each, by).where("rank <= 20")
+    total = own.agg(F.sum("c").alias("total"))
+    out = top.groupBy("sigma", "alpha", "f_min").agg(F.sum("score").alias("captured"), F.sum("n_nodes").alias("nodes")).crossJoin(F.broadcast(total))
+    return out.select("sigma", "alpha", "f_min", "captured", "nodes", F.round(F.col("captured") / F.col("total"), 5).alias("coverage"), F.round(F.col("captured") / F.col("nodes"), 4).alias("density"))
