@@ -146,14 +146,19 @@ def mixed(docs: DataFrame) -> DataFrame:
     Rows of a repeated doc_id are joined with a place of a row of the same size and source; n_chars follows the text.
     """
     columns = docs.columns
-    docs = docs.select([F.col(f"`{c}`") for c in columns])
     rows, block = plan(docs.select("doc_id", "text", "source"))
     rows = rows.groupBy("doc_id", "size", "__s").agg(*[F.first(c).alias(c) for c in ("begin", "end", "n", "quota", "step", "shift")])
-    named = docs.withColumn("__s", F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))).withColumn("__w", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0)))
-    rows = rows.select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("__s").alias("__src"), "begin", "end", "n", "quota", "step", "shift")
-    joined = named.join(rows, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.size("__w") == F.col("__size")) & (F.col("__s") == F.col("__src"))).where("__size > 0")
+    source = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
+    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("doc_id").alias("__doc"), F.col("text").alias("__text"), source.alias("__source"), found.alias("__w"))
+    own = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.size("__w") == F.col("size")) & (F.col("__source") == F.col("__s"))
+    joined = named.join(rows, own).where("size > 0")
     kept = lambda turn: F.filter("__w", lambda w, i: copies(F.floor((F.col("begin") + i) / block)) >= turn)
     turned = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quota") / F.col("n")).cast("int")))).where("__turn > 0")
     turned = turned.withColumn("__k", kept(F.col("__turn"))).where(F.size("__k") > 0)
-    text = F.when(F.size("__k") == F.col("__size"), F.col("text")).otherwise(F.array_join("__k", " "))
-    return turned.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(columns)
+    text = F.when(F.size("__k") == F.col("size"), F.col("__text")).otherwise(F.array_join("__k", " "))
+    out = turned.withColumn("__text", text)
+    row = F.col("__row").withField("text", F.col("__text"))
+    if "n_chars" in columns:
+        row = row.withField("n_chars", F.length("__text").cast("long"))
+    return out.select(row.alias("__row")).select("__row.*")

@@ -299,4 +299,4 @@ def representatives(docs: DataFrame) -> DataFrame:
     kept = rows.where("part is not null").groupBy("part").agg(F.min(F.struct("d", "t")).alias("k")).select("k.d", "k.t")
     kept = kept.unionByName(rows.where("part is null").select("d", "t")).select(F.col("d").alias("__d"), F.col("t").alias("__t"))
     own = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("__d")) & (F.hash("text") == F.col("__t"))
-    return docs.join(kept, own, "left_semi").dropDuplicates(["doc_id", "text"]).select(columns)
+    return docs.join(kept, own, "left_semi").dropDuplicates(["doc_id", "text"]).select([F.col(f"`{c}`") for c in columns])

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from citadine.llm import scratch, words
 
@@ -35,13 +36,13 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 #: name, value, good from/to, bad below/above: a rule votes good inside the first range, bad outside the second, and abstains between.
 RULES = (
     ("length", "n_words", (100, math.inf), (50, math.inf)),
-    ("word_length", "word_chars / n_words", (3, 9), (2, 14)),
-    ("symbols", "n_symbols / n_words", (0, 0.1), (0, 0.3)),
-    ("symbol_share", "n_symbols / word_chars", (0, 0.02), (0, 0.05)),
-    ("repeats", "n_repeat_words / n_words", (0, 0.3), (0, 0.5)),
-    ("lines", "n_dup_lines / n_lines", (0, 0.2), (0, 0.5)),
-    ("closed", "n_closed / n_words", (0.02, 0.4), (0.005, 0.7)),
-    ("lettered", "n_lettered / n_words", (0.9, 1), (0.7, 1)),
+    ("word_length", "try_divide(word_chars, n_words)", (3, 9), (2, 14)),
+    ("symbols", "try_divide(n_symbols, n_words)", (0, 0.1), (0, 0.3)),
+    ("symbol_share", "try_divide(n_symbols, word_chars)", (0, 0.02), (0, 0.05)),
+    ("repeats", "try_divide(n_repeat_words, n_words)", (0, 0.3), (0, 0.5)),
+    ("lines", "try_divide(n_dup_lines, n_lines)", (0, 0.2), (0, 0.5)),
+    ("closed", "try_divide(n_closed, n_words)", (0.02, 0.4), (0.005, 0.7)),
+    ("lettered", "try_divide(n_lettered, n_words)", (0.9, 1), (0.7, 1)),
 )
 
 
@@ -98,6 +99,8 @@ def posteriors(patterns: list[tuple[int, ...]], counts: list[int], rounds: int =
     may come to vote bad more often on good documents than on bad ones. Counts are whole numbers, so the result
     doesn't depend on row order. Without votes, or with too few documents to tell, the initial belief stands out.
     """
+    if not patterns:
+        return np.zeros(0)
     vote, count = np.array(patterns, int).reshape(len(patterns), -1), np.array(counts, float)
     good = np.where((vote < 0).any(1), 0.05, 0.95)
     is_vote = np.stack([vote == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, rule, vote
@@ -119,7 +122,8 @@ def posteriors(patterns: list[tuple[int, ...]], counts: list[int], rounds: int =
 
 def counted(rows: DataFrame, passed: str, rules=RULES) -> DataFrame:
     """The counts of ``rows`` (a column ``passed``, and text) with the rules' votes and base_failed."""
-    out = rows.select(passed, "text").mapInArrow(features(passed), f"{rows.schema[passed].name} {rows.schema[passed].dataType.simpleString()}, {COUNTS}")
+    schema = T.StructType([rows.schema[passed], *(T.StructField(x.split()[0], T.LongType()) for x in COUNTS.split(", "))])
+    out = rows.select(passed, "text").mapInArrow(features(passed), schema)
     return out.withColumn("votes", votes(rules)).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
 
 

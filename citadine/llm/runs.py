@@ -124,7 +124,7 @@ def op2(docs: DataFrame) -> DataFrame:
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """The documents with the lines that stay as their text, and n_chars of that; other columns as they were."""
     out = deduplicated(docs).withColumn("text", F.array_join("__kept", "\n"))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = f"""

@@ -1,0 +1,356 @@
+"""Each operator against a brute-force version, on documents with nulls, repeats, ties and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from itertools import pairwise
+
+import comparing
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from citadine.llm import bpe, components, exact, licenses, located, mixing, near, pii, quality, queries, runs, sharding, suffixes, words
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `d` string, `t` string, kind string, n string, `row` string, `a.b` string"
+
+
+def make_texts():
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abcdefghéü") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    prose = lambda n: " ".join(rng.choice(vocabulary) + rng.choice(["", "", ",", "."]) for _ in range(n))
+    passage, line, base = prose(50), "  This Line is on many pages and Long enough to count ", prose(120)
+    out = [None, "", "  \n\t ", "one", "two Words", "a b c d", "É é É é", "x" * 30000]
+    out += [prose(rng.randint(5, 400)) for _ in range(20)]
+    out += [base] * 4 + [base.upper()]
+    for k in range(12):
+        own = base.split()
+        for _ in range(k // 2 + 1):
+            own[rng.randrange(len(own))] = f"neu{rng.randrange(10**6)}"
+        out.append(" ".join(own))
+    out += [prose(30) + " " + passage + " " + prose(20) for _ in range(5)]
+    out += ["\n".join([prose(20), line, prose(15), line]) for _ in range(8)]
+    out += [f"{passage} {passage}", "same same same same same same same " * 9, "\n".join(["a line with words"] * 4), "### $$$ &&& " * 30 + prose(60)]
+    out += [prose(6000)]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = []
+    for k, x in enumerate(make_texts()):
+        out.append((k, x, "xx", [None, "s1", "s2", "s0"][min(3, k % 7)], len(x or ""), "a", "b", "c", "d", "e", "f"))
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3, "doc_id")
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def by_id(df):
+    return {r["doc_id"]: r.asDict() for r in df.collect()}
+
+
+def test_word_hashes_and_runs():
+    import numpy as np
+    import pyarrow as pa
+
+    texts = pa.array(["Hello wörld", None, "", " x\ty ", "a long word indeedindeedindeed", "z"])
+    raw, offsets = words.text_bytes(texts)
+    starts, ends, firsts = words.word_spans(raw, offsets)
+    assert [bytes(raw[i:j]).decode() for i, j in zip(starts, ends)] == [w for x in texts.to_pylist() for w in WORD.findall(x or "")]
+    hashes = np.random.default_rng(1).integers(0, 2**62, 60).astype(np.uint64)
+    for k in range(1, 40):
+        out = np.zeros(61 - k, np.uint64)
+        for i in range(k):
+            out = out * words.BASE + hashes[i : 61 - k + i]
+        assert (words.mixed(out) == words.grams(hashes, k)).all()
+
+
+def test_pii_samples():
+    cases = {
+        "write bob.42 [at] mail3 [dot] example [dot] com now": [("email", "bob.42 [at] mail3 [dot] example [dot] com")],
+        "bob at mail dot example dot com!": [("email", "bob at mail dot example dot com")],
+        "раypal.bob@mаil.example.com x": [("email", "раypal.bob@mаil.example.com")],
+        "４１１１１１１１１１１１１１１１ y": [("card", "４１１１１１１１１１１１１１１１")],
+        "call plus one two six nine five five five three two nine six ok": [("phone", "plus one two six nine five five five three two nine six")],
+        "192 dot 168 dot 1 dot 10": [("ip", "192 dot 168 dot 1 dot 10")],
+        "192[.]168[.]1[.]10": [("ip", "192[.]168[.]1[.]10")],
+        "look at the dot on it": [],
+        "one two three four go": [],
+        "un deux de la un de": [],
+        "1.2.3.4 and 300.1.1.1": [("ip", "1.2.3.4")],
+        "a@b.co +1 (988) 555-2485": [("email", "a@b.co"), ("phone", "+1 (988) 555-2485")],
+        "4111 1111 1111 1111 4111 1111 1111 1112": [],
+    }
+    for text, want in cases.items():
+        base = pii.matches(text)
+        assert [(k, text[i:j]) for k, i, j in pii.ordered(base + pii.added(text, base))] == want, text
+
+
+def test_pii_rows(docs, rows):
+    got = by_id(pii.op1(docs))
+    for k, x, *_ in rows:
+        base = pii.matches(x or "")
+        assert got[k]["base_sha256"] == hashlib.sha256(pii.joined(base).encode()).hexdigest() and got[k]["spans"] == pii.joined(base)
+    masked = pii.masked(docs.select("doc_id", F.lit("to a.b@c.de ok").alias("text"))).first()
+    assert masked["text"] == "to <email> ok"
+
+
+def brute_lines(rows):
+    keys = defaultdict(list)
+    strip = " \t\n\x0b\x0c\r"
+    key = lambda line: line.strip(strip).translate(LOW)
+    for k, x in rows:
+        for y in {key(line) for line in (x or "").split("\n")}:
+            if len(y) >= 40:
+                keys[y].append(k)
+    out = {}
+    for k, x in rows:
+        lines = (x or "").split("\n")
+        kept = [y for y in lines if not (len(keys.get(key(y), ())) >= 5 and max(keys[key(y)]) != k)]
+        out[k] = len(lines), len(lines) - len(kept), "\n".join(kept)
+    return out
+
+
+def test_line_dedup(docs, rows):
+    want = brute_lines([(r[0], r[1]) for r in rows])
+    got = by_id(runs.op2(docs))
+    assert {k: (v["n_lines"], v["n_dropped"], v["kept_sha256"]) for k, v in got.items()} == {k: (a, b, hashlib.sha256(c.encode()).hexdigest()) for k, (a, b, c) in want.items()}
+    assert sum(v["n_dropped"] for v in got.values()) > 5
+
+
+def test_exact_dedup(docs, rows):
+    groups = defaultdict(list)
+    for k, x, *_ in rows:
+        groups[(x or "").translate(LOW)].append(k)
+    got = by_id(exact.op3(docs))
+    for text, ks in groups.items():
+        for k in ks:
+            assert (got[k]["keep_id"], got[k]["group_size"], got[k]["kept"], got[k]["text_sha256"]) == (max(ks), len(ks), k == max(ks), hashlib.sha256(text.encode()).hexdigest())
+
+
+def test_license_scan(spark, docs):
+    texts = ["x y Licensed under the Apache License, Version 2.0. z", "Éé released UNDER the mit license", "licensed under nothing", None, "", "Licensed under CC BY-NC 4.0."]
+    got = licenses.op4(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["template"], texts[r["doc_id"]][r["start"] : r["end"]]) for r in got} == {
+        (0, "Apache-2.0 notice", "Licensed under the Apache License, Version 2.0"),
+        (1, "MIT notice", "released UNDER the mit license"),
+        (5, "CC-BY-NC-4.0 notice", "Licensed under CC BY-NC 4.0"),
+    }
+    assert licenses.op4(docs).count() == 0
+
+
+def test_apportionment_is_by_highest_quotients():
+    rng = random.Random(3)
+    for _ in range(60):
+        votes = [rng.randint(0, 50) for _ in range(rng.randint(1, 6))]
+        caps = [rng.randint(0, 20) for _ in votes]
+        seats, want = rng.randint(0, 40), [0] * len(votes)
+        for _ in range(seats):
+            open_ = [i for i in range(len(votes)) if want[i] < caps[i] and votes[i]]
+            if open_:
+                want[max(open_, key=lambda i: (votes[i] / (2 * want[i] + 1), -i))] += 1
+        assert mixing.sainte_lague(votes, seats, caps).tolist() == want
+
+
+def test_mixing(docs, rows):
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    source = {r[0]: r[3] for r in rows}
+    total = Counter()
+    for k, n in size.items():
+        total[source[k]] += n
+    names = sorted(total, key=lambda s: (s is None, s))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped = {}
+    while True:
+        free = [s for s in names if s not in capped]
+        rate = (1.5 * sum(total.values()) - sum(capped.values())) / sum(weight[s] for s in free)
+        new = {s: 2 * total[s] for s in free if rate * weight[s] > 2 * total[s]}
+        if not new:
+            break
+        capped |= new
+    want = {s: capped.get(s, rate * weight[s]) for s in names}
+    got, taken = by_id(mixing.op5(docs)), Counter()
+    again = by_id(mixing.op5(docs.repartition(5)))
+    for k, r in got.items():
+        assert r["size"] == size[k] and r["source_size"] == total[source[k]] and r["target"] == pytest.approx(want[source[k]])
+        assert 0 <= r["taken"] <= 2 * r["size"] and r == again[k]
+        taken[source[k]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 2 for s in names)
+    mixed = Counter()
+    for r in mixing.mixed(docs).collect():
+        mixed[r["source"]] += len(WORD.findall(r["text"]))
+        assert r["n_chars"] == len(r["text"])
+    assert mixed == taken
+
+
+def brute_shingles(rows):
+    sets = {}
+    for k, x in rows:
+        w = WORD.findall((x or "").translate(LOW))
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+    parent = {k: k for k in sets}
+
+    def find(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in sets:
+        for b in sets:
+            common = len(sets[a] & sets[b])
+            if a < b and common and 100 * common >= 80 * (len(sets[a]) + len(sets[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {k: (len(sets[k]), find(k)) for k in sets}
+
+
+def test_ngram_jaccard(docs, rows):
+    want = brute_shingles([(r[0], r[1]) for r in rows])
+    got = by_id(near.op6(docs))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == want
+    kept = {r["doc_id"] for r in near.representatives(docs).collect()}
+    assert kept == {k for k, (_, c) in want.items() if c == k}
+
+
+def test_ngram_jaccard_of_a_large_group(spark):
+    """Copies with up to 14 words changed of 100, so that many pairs are near the threshold."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+    texts = []
+    for k in range(150):
+        own = list(base)
+        for _ in range(rng.randrange(15)):
+            own[rng.randrange(100)] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(own[: 100 - k % 9]))
+    rows = list(enumerate(texts))
+    got = by_id(near.op6(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == brute_shingles(rows)
+
+
+def test_components(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
+    got = {r["id"]: r["component"] for r in components.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {90: 90, 95: 90, 100: 90}
+
+
+def test_sharding(docs, rows):
+    got = by_id(sharding.op7(docs))
+    text = {r[0]: r[1] for r in rows}
+    slots, size, of_text = defaultdict(list), Counter(), defaultdict(set)
+    for k, r in got.items():
+        raw = (text[k] or "").encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None) and 0 <= r["shard"] < 8
+        slots[r["shard"]].append(r["slot"])
+        size[r["shard"]] += r["size"]
+        of_text[text[k]].add(r["shard"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in of_text.values())
+
+
+def test_quality(docs, rows):
+    got = by_id(quality.op8(docs))
+    for k, x, *_ in rows:
+        w = WORD.findall(x or "")
+        seen = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        cover = {j for i in range(len(w) - 2) if seen[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+        lines = [y for y in (x or "").split("\n") if WORD.search(y)]
+        want = len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in x or ""), len(lines) - len(set(lines)), len(cover)
+        r = got[k]
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(cover) > 50 * len(w)) and not (r["base_failed"] and r["kept"])
+    kept = quality.keep(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
+
+
+def test_quality_agrees_with_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    got = by_id(quality.op8(queries.documents(spark, sf)))
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        if not got[r["doc_id"]]["base_failed"]:
+            assert got[r["doc_id"]]["kept"] == bool(r["quality"])
+
+
+ODD = ["", "a" * 5000, "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "aaaa aaa", "it's IT'S don't", "\x1c\x85 é́ Σς İ ǅ ½Ⅷ 中文 🙂", "0129 1,5"]
+
+
+def test_bpe_equals_the_library(spark, docs, rows):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = queries.tokenizer()
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    texts = [r[1] for r in rows] + ODD
+    got = by_id(bpe.op9(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    whole = by_id(bpe.bpe(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path))
+    for k, x in enumerate(texts):
+        ids = library.encode(x or "", add_special_tokens=False).ids
+        decoded = library.decode(ids, skip_special_tokens=False)
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        assert (got[k]["n_tokens"], got[k]["ids_sha256"], got[k]["decoded_sha256"]) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
+        assert bytes(whole[k]["ids"]) == packed and whole[k]["decoded"] == decoded
+
+
+def test_substring_dedup(docs, rows):
+    split = {r[0]: WORD.findall(r[1] or "") for r in rows}
+    seen = Counter(tuple(w[i : i + 35]) for w in split.values() for i in range(len(w) - 34))
+    got = by_id(suffixes.op10(docs))
+    for k, w in split.items():
+        cover = {j for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in cover)
+        assert (got[k]["n_words"], got[k]["n_removed"], got[k]["kept_sha256"]) == (len(w), len(cover), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_settled_keys_leave_one_witness():
+    import numpy as np
+
+    dealer = located.Dealer(2, lambda hi: (hi % np.uint64(2)).astype(np.int64))
+    hi = np.array([4, 4, 5, 7, 5, 4], np.uint64)
+    list(dealer.add(hi, np.zeros(6, np.uint32), np.arange(6), np.zeros(6, np.int32), np.arange(6)))
+    rows = dealer.flush().to_pylist()
+    assert sum(len(r["keys"]) // 12 for r in rows if not r["settled"]) == 3 and sum(len(r["docs"]) // 8 for r in rows if r["settled"]) == 5
+
+
+OPS = {"op1": pii.op1, "op2": runs.op2, "op3": exact.op3, "op4": licenses.op4, "op5": mixing.op5, "op6": near.op6, "op7": sharding.op7, "op8": quality.op8, "op9": lambda d: bpe.op9(d, queries.tokenizer()), "op10": suffixes.op10}
+
+
+@pytest.mark.parametrize("name", OPS)
+def test_empty_table(empty, name):
+    assert OPS[name](empty).collect() == []
+
+
+@pytest.mark.parametrize("name", [n for n in OPS if n != "op4"])
+def test_null_and_repeated_ids(spark, name):
+    rows = [(None, "some words in a text without an id"), (None, None), (3, "b c"), (3, "b c"), (3, "other words"), (-5, "")]
+    got = OPS[name](spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(k for k, _ in rows)
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracles(spark, name):
+    sf = "/root/testdata/sf0.001"
+    assert comparing.difference(queries.QUERIES[name](spark, sf), sf, queries.ORACLES[name]) == ""
+
+
+def test_pipeline(spark):
+    """The stages by their own brute-force versions: what quality keeps, without repeated lines, one of each component, mixed, encoded."""
+    sf = "/root/testdata/sf0.001"
+    docs = queries.documents(spark, sf)
+    kept = {r["doc_id"] for r in quality.op8(docs).where("kept").collect()}
+    first = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
+    second = {k: v[2] for k, v in brute_lines(first.items()).items()}
+    third = {k: second[k] for k, (_, c) in brute_shingles(second.items()).items() if c == k}
+    got = spark.createDataFrame(corpus_pipeline.run(spark, sf).collect())
+    ids = {r["doc_id"] for r in got.collect()}
+    assert ids <= set(third) and len(ids) > 0.5 * len(third)
+    assert len(corpus_pipeline.STAGES) == 5 and [n for n, _ in pairwise([*corpus_pipeline.STAGES, ("", None)])]
