@@ -36,6 +36,7 @@ BITS = 20
 SKETCH_PARTS = 32
 EXTRA = 20
 SETS = "kind int, doc_id long, d long, t int, n int, c1 long, c2 long, sketch binary"
+LONG = 1000
 ENTRIES = "kind int, token long, n int, g1 long, g2 int, c1 long, c2 long"
 SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -137,8 +138,9 @@ def _prefixes(classes: np.ndarray, buckets: int):
             members += 1
             _, first_group = np.unique(np.stack([g1, g2.astype(np.int64)], 1), axis=0, return_index=True)
             use = np.isin(owner, first_group)
+            place = (np.arange(len(prefix)) - own[owner])[use]
             prefix, owner = prefix[use], owner[use]
-            yield from dealer.add(prefix, np.zeros(len(prefix), np.uint32), g1[owner], g2[owner], n[owner])
+            yield from dealer.add(prefix, np.zeros(len(prefix), np.uint32), g1[owner], g2[owner], place)
         yield from dealer.close()
 
     return run
@@ -160,7 +162,7 @@ def _entries(kind, token, n, g1, g2, c1, c2) -> pa.Table:
 
 
 def _shared_prefixes(dealt: pa.Table) -> pa.Table:
-    """The prefix shingles of a bucket that several groups hold, with their groups; and the members of groups."""
+    """The prefix shingles of a bucket that several groups hold, with their groups and their place in the prefix (as n); and the members of groups."""
     outs, tokens, places, mark = [], [], [], []
     none = lambda n: np.zeros(n, np.int64)
     for row in dealt.to_pylist():
@@ -227,10 +229,10 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     groups = scratch.table(classes.groupBy("g1", "g2", "n").agg(F.min("cid").alias("gid"), F.count("*").alias("members")), "groups")
     members = classes.join(groups.drop("n"), ["g1", "g2"]).select("cid", "gid", "n", "members", "d", "t")
     members = scratch.table(members, "members")
-    held = entries.where("kind = 0").join(groups.drop("members"), ["g1", "g2", "n"]).select("token", "gid", "n")
+    held = entries.where("kind = 0").select("token", "g1", "g2", F.col("n").alias("i")).join(groups.drop("members"), ["g1", "g2"]).select("token", "gid", "n", "i")
     held = scratch.table(held, "held")
     shared = held.groupBy("gid").agg(F.count("*").alias("r")).withColumnRenamed("gid", "g0")
-    once = scratch.table(held.join(shared, held.gid == shared.g0).select("token", "gid", "n", "r"), "held")
+    once = scratch.table(held.join(shared, held.gid == shared.g0).select("token", "gid", "n", "r", "i"), "held")
     scratch.drop(entries, groups, held)
     held = once
 
@@ -260,21 +262,30 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
         # a group has the component of its classes if it is the same for all, else none that another group could have
         own = members.join(found, members.cid == found.id, "left").groupBy("gid").agg(F.min(F.coalesce("component", "cid")).alias("lo"), F.max(F.coalesce("component", "cid")).alias("hi"))
         own = own.select(F.col("gid").alias("g"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("part"))
-        parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "r", "part")
+        parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "r", "i", "part")
         counted = parted.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
         parted = scratch.table(parted.join(counted.where("all * all > within").select("token"), "token", "left_semi"), "parted")
         last = turn == rounds
         if last:
-            other = parted.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("part").alias("part2"))
-            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2"))
+            # the first shingle that two prefixes share has all others that they must share behind it, so only that far from the end are pairs looked for
+            other = parted.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("i").alias("j"), F.col("part").alias("part2"))
+            early = f"i + {needed('n', 'm')} <= {prefix_sql('n')} and j + {needed('n', 'm')} <= {prefix_sql('m')}"
+            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2")) & F.expr(f"least(n, m) > {LONG} or ({early})")
         else:
             order = [F.lit(0.0) if turn else -F.col("r") / F.expr(prefix_sql("n")), F.xxhash64(F.lit(turn), "gid")]
             first = parted.groupBy("token").agg(F.min(F.struct(*order, "gid", "n", "r", "part")).alias("first"))
             other = first.select("token", F.col("first.gid").alias("q"), F.col("first.n").alias("m"), F.col("first.r").alias("s"), F.col("first.part").alias("part2"))
             apart = F.col("part") != F.col("part2")
         pairs = parted.withColumnRenamed("gid", "p").join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and least(r, s) >= {needed('n', 'm')}"))
-        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"))
-        near = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least")).where("common >= least").select("p", "q")
+        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"), F.expr("least(n, m)").alias("size"))
+        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.min("size").alias("size"))
+        if last:  # of long texts all shared shingles were counted; prefixes of others are short enough to be compared
+            pairs = scratch.table(pairs.where(f"size <= {LONG} or common >= least"), "pairs")
+            short = parted.where(f"n <= {LONG} * 5 div 4").groupBy("gid").agg(F.collect_list("token").alias("tokens"))
+            both = pairs.where(f"size <= {LONG}").join(short.select(F.col("gid").alias("p"), F.col("tokens").alias("x")), "p").join(short.select(F.col("gid").alias("q"), F.col("tokens").alias("y")), "q")
+            near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("least")).select("p", "q").unionByName(pairs.where(f"size > {LONG}").select("p", "q"))
+        else:
+            near = pairs.where("common >= least").select("p", "q")
         more = scratch.table(verified(expanded(near)), "links")
         links = links.unionByName(more)
         scratch.drop(parted, found)
