@@ -29,6 +29,17 @@ def select_montecarlo(scored: DataFrame, null_max: DataFrame, by: list[str], alp
     return joined.withColumn("p_value", p).withColumn("kept", p < alpha).drop("null")
 
 
+def resolve(method: str, scored: DataFrame, by: list[str], order: list[Column], **options) -> DataFrame:
+    """The selection by its name: fixed (k), percentile (q, min_k, max_k) or montecarlo (null_max, alpha)."""
+    if method == "fixed":
+        return select_fixed(scored, by, options["k"], order)
+    if method == "percentile":
+        return select_percentile(scored, by, options["q"], order, options.get("min_k", 1), options.get("max_k"))
+    if method == "montecarlo":
+        return select_montecarlo(scored, options["null_max"], by, options["alpha"]).where("kept")
+    raise ValueError(f"unknown selection {method!r}; there are fixed, percentile and montecarlo")
+
+
 def metrics(members: DataFrame, by: list[str], total: Column, network: Column) -> DataFrame:
     """captured, coverage, nodes, density and hotspots of selected nodes with their counts c and hotspot id."""
     captured, nodes = F.sum("c"), F.count("*")
