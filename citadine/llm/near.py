@@ -5,7 +5,9 @@
 2. Documents with equal sets are one class, and classes with equal size and prefix one group. A document of n shingles has a prefix of its
    first p = n - ceil(0.8 n) + 1 + n // 20. Linked documents of n and m shingles have 4 (n + m) / 9 in common, and outside their prefixes no
    more than the larger of n - p(n) and m - p(m); so the rest must be among their prefixes. Pairs of groups that share fewer prefix shingles, or
-   differ too much in size, are left out; so are groups that share too few with any other.
+   differ too much in size, are left out; so are groups that share too few with any other. The first shared shingle has all others that must be shared
+   behind it, so pairs are looked for at early places only, and the prefixes of what is found are compared; for texts of over a thousand
+   shingles, whose prefixes are long, shared shingles are counted at all places instead.
 3. Pairs of groups are expanded to pairs of their classes, and the whole sets are intersected.
 
 Large groups of near copies would have pairs without number, and most would tell nothing new. So pairs come in rounds. First each prefix shingle offers
