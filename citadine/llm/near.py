@@ -239,8 +239,8 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     held = once
 
     # sets of the classes that can be in a pair at all
-    fewest = f"least({needed('n', '(4 * n + 4) div 5')}, {needed('n', '5 * n div 4')}, {needed('n', 'n')})"  # it rises up to equal sizes and falls from there, but for rounding
-    able = held.where(f"r + 2 >= {fewest}").select("gid").distinct().unionByName(members.where("members > 1").select("gid").distinct()).distinct()
+    fewest = f"least({needed('n', '(4 * n + 4) div 5')}, {needed('n', '5 * n div 4')}, {needed('n', 'n')})"  # it rises up to equal sizes and falls from there, but for rounding by less than 4
+    able = held.where(f"r + 4 >= {fewest}").select("gid").distinct().unionByName(members.where("members > 1").select("gid").distinct()).distinct()
     wanted = members.join(able, "gid", "left_semi").select("cid", F.col("d").alias("d2"), F.col("t").alias("t2"))
     texts = base.select("d", "t", "text").join(wanted, (F.col("d") == F.col("d2")) & (F.col("t") == F.col("t2"))).select("cid", "text")
     whole = scratch.table(texts.mapInArrow(_whole_sets, "cid long, items array<long>").dropDuplicates(["cid"]), "whole-sets")
