@@ -1,12 +1,13 @@
 """Operator 5: mixing sources to target weights by Sainte-Laguë apportionment.
 
 Sizes are words. Each source has a weight and a target (its share of the mix, at most ``repeats`` times its size).
-The mix consists of equal blocks of tokens. Sainte-Laguë gives blocks to sources by highest quotients of their targets, and within
-a source to its shards by those of their tokens, so that every shard has a whole number of blocks to give. A shard holds documents by
-their hash; their words, in seeded order, are its blocks, and a seeded permutation of the block numbers selects as many as its quota says.
+The unit of the mix, its block, is one word at every input size. Sainte-Laguë gives words to sources by highest quotients of their targets, and within
+a source to its shards by those of their words, so that every shard has a whole number of words to give. A shard holds documents by
+their hash, in seeded order. Its quota takes all of them as often as it holds the whole shard; what is left takes documents from the start of that order,
+whole ones up to the document at the quota's edge, of which it takes the first words. So each shard cuts at most one document.
 
 A large source has many shards, none of which holds much more than ``shard_tokens``; apportionment sees one row per source and per
-shard only. The permutation is computed for a block number alone, so blocks are never listed.
+shard only.
 
 Null and empty texts have no words and take none. Null is a source of its own, last. Rows with null or repeated doc_id
 are taken each by itself. Extra columns are ignored by op5. Empty tables give empty results. The same rows and seed give the same mix.
@@ -14,17 +15,16 @@ are taken each by itself. Extra columns are ignored by op5. Empty tables give em
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citadine.llm import scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
+WORD_END = r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"
 WEIGHTS = (5, 2, 1)
 
 
@@ -78,87 +78,68 @@ def targets(sizes: DataFrame, share: float = 1.5, repeats: int = 2) -> DataFrame
     return rows.withColumn("rate", rate).select("__s", "source_size", F.when(F.col("rate").isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), F.col("rate") * F.col("w"))).alias("target"))
 
 
-def _quotas(block: int, repeats: int, seed: int):
+def _quotas(repeats: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Quota, number of blocks and permutation of each shard of one source."""
+        """Words that each shard of one source gives."""
         pdf = pdf.sort_values("shard").reset_index(drop=True)
-        n = -(-pdf["tokens"].to_numpy() // block)
-        quota = sainte_lague(pdf["tokens"].to_numpy(), int(pdf["blocks"].iloc[0]), repeats * n)
-        steps = [coprime(int(m)) for m in n]
-        return pd.DataFrame({"__s": pdf["__s"], "shard": pdf["shard"], "n": n, "quota": quota, "step": steps, "shift": [(seed * 7919 + int(s)) % max(1, int(m)) for s, m in zip(pdf["shard"], n)]})
+        n = pdf["tokens"].to_numpy()
+        return pd.DataFrame({"__s": pdf["__s"], "shard": pdf["shard"], "n": n, "quota": sainte_lague(n, int(pdf["words"].iloc[0]), repeats * n)})
 
     return run
 
 
-def coprime(n: int) -> int:
-    """A step near n over the golden ratio that has no divisor in common with n, so that its multiples visit all of 0 to n - 1."""
-    step = max(1, round(n * 0.6180339887498949))
-    while math.gcd(step, max(1, n)) > 1:
-        step += 1
-    return step
-
-
 def _of_sources(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Blocks of each source; one row per source comes in."""
+    """Words of each source; one row per source comes in."""
     pdf = pdf.sort_values("__s").reset_index(drop=True)
-    pdf["blocks"] = sainte_lague(pdf["target"].to_numpy(), int(pdf["seats"].iloc[0]), pdf["most"].to_numpy())
-    return pdf[["__s", "source_size", "target", "shards", "blocks"]]
+    pdf["words"] = sainte_lague(pdf["target"].to_numpy(), int(pdf["seats"].iloc[0]), pdf["most"].to_numpy())
+    return pdf[["__s", "source_size", "target", "shards", "words"]]
 
 
-def plan(docs: DataFrame, share: float = 1.5, repeats: int = 2, shard_tokens: int = 1 << 20, seed: int = 17) -> tuple[DataFrame, int]:
-    """The documents with their place in their shard's stream of words and the shard's quota, and the block size."""
+def plan(docs: DataFrame, share: float = 1.5, repeats: int = 2, shard_tokens: int = 1 << 20, seed: int = 17) -> DataFrame:
+    """The documents with how often the mix takes them whole (full), and how many of their first words it takes once more (part)."""
     sizes = scratch.table(sized(docs), "mix-sizes")
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    block = int(min(64, max(1, total // 1_000_000)))
     sources = targets(sizes, share, repeats).withColumns(
         {
-            "seats": F.lit(round(total * share / block)).cast("long"),
-            "most": F.ceil(F.col("source_size") * repeats / block).cast("long"),
+            "seats": F.lit(round(total * share)).cast("long"),
+            "most": (F.col("source_size") * repeats).cast("long"),
             "shards": F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"),
         }
     )
-    sources = scratch.table(sources.groupBy(F.lit(1).alias("__g")).applyInPandas(_of_sources, "__s string, source_size long, target double, shards long, blocks long"), "mix-sources")
+    sources = scratch.table(sources.groupBy(F.lit(1).alias("__g")).applyInPandas(_of_sources, "__s string, source_size long, target double, shards long, words long"), "mix-sources")
     placed = sizes.join(sources, "__s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
-    shards = placed.groupBy("__s", "shard", "blocks").agg(F.sum("size").alias("tokens"))
-    quotas = shards.groupBy("__s").applyInPandas(_quotas(block, repeats, seed), "__s string, shard long, n long, quota long, step long, shift long")
+    shards = placed.groupBy("__s", "shard", "words").agg(F.sum("size").alias("tokens"))
+    quotas = shards.groupBy("__s").applyInPandas(_quotas(repeats), "__s string, shard long, n long, quota long")
     order = Window.partitionBy("__s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
-    stream = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return stream.withColumn("begin", F.col("end") - F.col("size")).join(quotas, ["__s", "shard"]), block
-
-
-def copies(number: Column) -> Column:
-    """How often the mix takes a block of the row's shard."""
-    extra = F.col("quota") % F.col("n")
-    return F.floor(F.col("quota") / F.col("n")) + F.when((number * F.col("step") + F.col("shift")) % F.col("n") < extra, 1).otherwise(0)
+    stream = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["__s", "shard"])
+    words = lambda x: F.when(F.col("size") > 0, x).otherwise(0).cast("long")
+    rest = F.col("quota") % F.col("n") - (F.col("end") - F.col("size"))
+    return stream.select("doc_id", "size", "__s", "source_size", "target", words(F.floor(F.col("quota") / F.col("n"))).alias("full"), words(F.greatest(F.lit(0), F.least("size", rest))).alias("part"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    rows, block = plan(docs.select("doc_id", "text", "source"))
-    overlap = lambda i: F.least("end", (i + 1) * block) - F.greatest("begin", i * block)
-    blocks = F.sequence(F.floor(F.col("begin") / block), F.floor((F.col("end") - 1) / block))
-    taken = F.aggregate(blocks, F.lit(0).cast("long"), lambda acc, i: acc + overlap(i) * copies(i))
-    return rows.select("doc_id", "size", "source_size", "target", F.when(F.col("size") == 0, 0).otherwise(taken).cast("long").alias("taken"))
+    rows = plan(docs.select("doc_id", "text", "source"))
+    return rows.select("doc_id", "size", "source_size", "target", (F.col("full") * F.col("size") + F.col("part")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix: a row for each time that a document is taken, with the words taken then; whole documents keep their text as it was.
+    """The mix: a row for each time that a document is taken. Its text is as it was, but for the document at the edge of a shard's quota, whose
+    last row ends with the last word taken.
 
     Rows of a repeated doc_id are joined with a place of a row of the same size and source; n_chars follows the text.
     """
     columns = docs.columns
-    rows, block = plan(docs.select("doc_id", "text", "source"))
-    rows = rows.groupBy("doc_id", "size", "__s").agg(*[F.first(c).alias(c) for c in ("begin", "end", "n", "quota", "step", "shift")])
+    rows = plan(docs.select("doc_id", "text", "source")).groupBy("doc_id", "size", "__s").agg(F.first("full").alias("full"), F.first("part").alias("part"))
     source = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    found = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("doc_id").alias("__doc"), F.col("text").alias("__text"), source.alias("__source"), found.alias("__w"))
-    own = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.size("__w") == F.col("size")) & (F.col("__source") == F.col("__s"))
-    joined = named.join(rows, own).where("size > 0")
-    kept = lambda turn: F.filter("__w", lambda w, i: copies(F.floor((F.col("begin") + i) / block)) >= turn)
-    turned = joined.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quota") / F.col("n")).cast("int")))).where("__turn > 0")
-    turned = turned.withColumn("__k", kept(F.col("__turn"))).where(F.size("__k") > 0)
-    text = F.when(F.size("__k") == F.col("size"), F.col("__text")).otherwise(F.array_join("__k", " "))
-    out = turned.withColumn("__text", text)
-    row = F.col("__row").withField("text", F.col("__text"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("doc_id").alias("__doc"), source.alias("__source"), size.alias("__n"))
+    own = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__n") == F.col("size")) & (F.col("__source") == F.col("__s"))
+    turns = F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)
+    turned = named.join(rows, own).where((F.col("size") > 0) & (turns > 0)).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), turns)))
+    cut = (F.col("__turn") > F.col("full")) & (F.col("part") < F.col("size"))
+    text = F.col("__row").getField("text")
+    head = F.array_join(F.slice(F.split(text, WORD_END, F.col("part").cast("int") + 1), F.lit(1), F.col("part").cast("int")), "")
+    row = F.col("__row").withField("text", F.when(cut, head).otherwise(text))
     if "n_chars" in columns:
-        row = row.withField("n_chars", F.length("__text").cast("long"))
-    return out.select(row.alias("__row")).select("__row.*")
+        row = row.withField("n_chars", F.length(F.when(cut, head).otherwise(text)).cast("long"))
+    return turned.select(row.alias("__row")).select("__row.*")

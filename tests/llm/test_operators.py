@@ -195,6 +195,24 @@ def test_mixing(docs, rows):
     assert mixed == taken
 
 
+def test_mixing_keeps_documents_whole(spark):
+    """Of each source at most one document is cut, at its end; the others keep their line breaks and all their words."""
+    rng = random.Random(21)
+    text = lambda: "".join(f"w{rng.randrange(10**6)}" + rng.choice([" ", "\n", "  \t"]) for _ in range(rng.randint(1, 300)))
+    rows = [(k, "  " + text(), "s1" if k == 7 else "s0" if k % 5 < 3 else "s2") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    whole, cuts, words_of = {r[0]: r[1] for r in rows}, Counter(), Counter()
+    for r in mixing.mixed(docs).collect():
+        words_of[r["doc_id"]] += len(WORD.findall(r["text"]))
+        if r["text"] != whole[r["doc_id"]]:
+            cuts[r["source"]] += 1
+            assert whole[r["doc_id"]].startswith(r["text"]) and WORD.findall(r["text"]) == WORD.findall(whole[r["doc_id"]])[: len(WORD.findall(r["text"]))]
+    assert max(cuts.values(), default=0) <= 1
+    got = by_id(mixing.op5(docs))
+    assert words_of == Counter({k: r["taken"] for k, r in got.items() if r["taken"]})
+    assert any(r["target"] < r["source_size"] for r in got.values())
+
+
 def brute_shingles(rows):
     sets = {}
     for k, x in rows:
