@@ -5,6 +5,10 @@ row, in an inverted index from hash to template and place. Any stretch of a temp
 nearby diagonals are one candidate; a banded alignment of the template with the words around it tells how many of its words are
 matched in order, and where. Candidates whose coverage reaches the threshold are reported; of overlapping ones the one with most matched words.
 
+Templates are short notices, openings and headers, and whole license texts (``license_texts``), each both as a whole and by its passages. A whole license
+is one row with the coverage and span of the license; where less than the threshold of it is there, its passages are found by themselves, so
+neither needs the opening. Of long templates only places are aligned whose words, in any order, could reach the threshold, which loses none.
+
 The templates are a parameter of bounded size and travel with the task; documents are read once and not shuffled.
 
 Null and empty texts have no hits. Rows with null or repeated doc_id are read each by itself. Extra columns are ignored. Empty tables give empty
@@ -13,8 +17,10 @@ results. Texts of any length are scanned whole. Ties between templates go to the
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +28,7 @@ from pyspark.sql import DataFrame
 
 from citadine.llm import words
 
-#: Short public notices and the openings of public license texts.
+#: Short public notices, and the openings and headers of public licenses.
 TEMPLATES = {
     "Apache-2.0 notice": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
@@ -40,14 +46,45 @@ TEMPLATES = {
     "MIT notice": "Released under the MIT License.",
     "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "Apache-2.0 whole header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    "GPL whole header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL whole header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this library; if not, see <https://www.gnu.org/licenses/>.",
     "all rights reserved": "Copyright. All rights reserved. No part of this publication may be reproduced",
 }
+#: Licenses whose whole texts are in the folder license_texts.
+WHOLE = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+PASSAGE = 12  # words of a passage, at least
+BREAK = re.compile(r"\n\s*\n|\n(?=\s*(?:[0-9]+\.|\(?[a-z]\))\s)")
+LONG = 40  # words of a template that is aligned by arrays
 K, W = 3, 2
 GAPS = np.ones(256, bool)
 GAPS[[*range(48, 58), *range(97, 123), *range(0x80, 0x100)]] = False
 SCHEMA = "doc_id long, template string, n_matched long, coverage double, start long, end long"
 
 
+def passages(text: str, least: int = PASSAGE) -> list[str]:
+    """Paragraphs and items of lists; those with fewer words, such as headings, are joined with what follows, the last with what is before."""
+    out, held = [], ""
+    for part in BREAK.split(text):
+        held += "\n\n" + part
+        if len(held.split()) >= least:
+            out.append(held)
+            held = ""
+    return [*out[:-1], out[-1] + held] if out else [held]
+
+
+def registered() -> dict[str, str]:
+    """All templates: the fixed ones, and each license text whole and, if it has several, by passages."""
+    out = dict(TEMPLATES)
+    for name in WHOLE:
+        text = (resources.files("citadine.llm") / "license_texts" / f"{name}.txt").read_text()
+        out[f"{name} text"] = text
+        parts = passages(text)
+        if len(parts) > 1:
+            out |= {f"{name} text, part {k:03d}": x for k, x in enumerate(parts, 1)}
+    return out
+
+
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     raw, offsets = words.text_bytes(texts)
     starts, ends, firsts = words.word_spans(words.LOWER[raw], offsets, GAPS)
@@ -90,11 +127,45 @@ def aligned(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tu
     return matched, first, last
 
 
+#: Fields of a state of aligned_long, in one integer that orders as (matched, -steps aside, first, last).
+LAST, FIRST, STEP, MATCH = 1, 1 << 15, 1 << 30, 1 << 46
+NEVER = -(1 << 62)
+
+
+def aligned_long(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
+    """The same as aligned, a row at a time; the template and twice the band together have fewer than 2^15 words."""
+    size, width, low = len(template), 2 * band + 1, shift - band
+    place = low + np.arange(size + width)
+    inside = (place >= 0) & (place < len(text))
+    valid = (place >= 0) & (place <= len(text))
+    word = np.zeros(len(place), np.uint64)
+    word[inside] = text[place[inside]]
+    aside = np.arange(width) * STEP
+    row = np.where(valid[:width], np.int64(STEP << 15), NEVER)
+    mark = np.arange(1, len(place) + 1)
+    above = np.full(width, NEVER)
+    for i in range(size):
+        above[:-1] = row[1:]
+        here = mark[i : i + width]
+        hit = (row & ~(FIRST - 1)) + MATCH + here
+        hit += np.where(row & (STEP - FIRST), 0, here * FIRST)
+        best = np.where(inside[i : i + width] & (word[i : i + width] == template[i]), hit, row - STEP)
+        best = np.maximum(best, above - STEP)
+        best = np.maximum.accumulate(best + aside) - aside
+        row = np.where(valid[i + 1 : i + 1 + width], best, NEVER)
+    top = int(row.max(initial=NEVER))
+    if top < 0:
+        return -1, 0, 0
+    place_of = lambda x: x - 1 + low if x else -1
+    return top // MATCH, place_of(top // FIRST % FIRST), place_of(top % FIRST)
+
+
 class Index:
     def __init__(self, templates: dict[str, str]):
         self.names = sorted(templates)
         hashes, _, _, firsts, _ = tokens(pa.array([templates[n] for n in self.names]))
         self.words = [hashes[i:j] for i, j in zip(firsts, firsts[1:])]
+        self.bags = [np.unique(x, return_counts=True) for x in self.words]
         self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, own in enumerate(self.words):
             runs = words.grams(own, K)
@@ -112,6 +183,12 @@ class Index:
         doc = np.searchsorted(firsts, found, side="right")
         return found[found + K <= firsts[doc]]
 
+    def most(self, t: int, text: np.ndarray) -> int:
+        """An upper bound of the words of the template that the text matches: those that both have, in any order."""
+        own, counts = self.bags[t]
+        at = np.minimum(np.searchsorted(own, text), len(own) - 1)
+        return int(np.minimum(np.bincount(at[own[at] == text], minlength=len(own)), counts).sum())
+
     def found(self, text: np.ndarray, hits: list[tuple[int, int]], coverage: float) -> list[tuple[int, int, int, int]]:
         """template, words matched, first and last word of each report; ``hits`` are places and hashes."""
         diagonals = defaultdict(set)
@@ -126,7 +203,14 @@ class Index:
                 if last is not None and shift - last <= band:
                     continue
                 last = shift
-                matched, first, end = aligned(self.words[t].tolist(), text.tolist() if len(text) < 4 * size else _Slice(text), shift, 2 * band)
+                if size >= LONG:
+                    near = text[max(0, shift - 2 * band) : max(0, size + shift + 2 * band)]
+                    if len(near) < coverage * size or self.most(t, near) < coverage * size:
+                        continue
+                    long = size + 4 * band < (1 << 15) - 2
+                    matched, first, end = (aligned_long if long else aligned)(self.words[t], text, shift, 2 * band)
+                else:
+                    matched, first, end = aligned(self.words[t].tolist(), text.tolist() if len(text) < 4 * size else _Slice(text), shift, 2 * band)
                 if matched >= coverage * size:
                     out.append((t, matched, first, end))
         best: list[tuple[int, int, int, int]] = []
@@ -174,7 +258,7 @@ def _scan(index: Index, coverage: float):
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """One row per license found in a text: doc_id, template, n_matched words, coverage of the template, start and end in code points."""
-    return docs.select("doc_id", "text").mapInArrow(_scan(Index(templates or TEMPLATES), coverage), SCHEMA)
+    return docs.select("doc_id", "text").mapInArrow(_scan(Index(templates or registered()), coverage), SCHEMA)
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -151,6 +151,33 @@ def test_license_scan(spark, docs):
     assert licenses.op4(docs).count() == 0
 
 
+def test_whole_licenses_and_their_passages(spark):
+    whole = licenses.registered()
+    mit, bsd, apache = whole["MIT text"].strip(), whole["BSD-3-Clause text"].strip(), whole["Apache-2.0 text"].strip()
+    conditions = bsd[bsd.index("1. Redistributions") :]
+    texts = [f"Copyright (c) 2020 Ann Other\n\n{mit}\n\nand code", f"Some code. {conditions}", "Notes. " + mit[mit.index("THE SOFTWARE IS PROVIDED") :], apache, apache[2 * len(apache) // 5 :], whole["GPL-3.0 text"][9000:21000], conditions[: conditions.index("THIS SOFTWARE")]]
+    rows = [r.asDict() for r in licenses.op4(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    of = lambda k: [r for r in rows if r["doc_id"] == k]
+    found = lambda r: texts[r["doc_id"]][r["start"] : r["end"]]
+    assert [(r["template"], r["coverage"], found(r)) for r in of(0)] == [("MIT text", 1.0, mit.rstrip("."))]
+    assert {r["template"][:14] for r in of(1)} <= {"BSD-2-Clause t", "BSD-3-Clause t"} and sum(len(found(r)) for r in of(1)) > 0.9 * len(conditions)
+    assert [r["template"] for r in of(2)] == [name for name, x in whole.items() if name.startswith("MIT text, part") and "AS IS" in x]
+    assert [(r["template"], r["coverage"]) for r in of(3)] == [("Apache-2.0 text", 1.0)]
+    assert len(of(4)) > 3 and sum(len(found(r)) for r in of(4)) > 0.8 * len(texts[4])
+    assert all(sum(len(found(r)) for r in of(k)) > 0.8 * len(texts[k]) for k in (5, 6))
+
+
+def test_long_alignment_equals_the_short_one():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        a, b = (rng.integers(0, 6, rng.integers(1, 30)).astype(np.uint64) for _ in range(2))
+        shift, band = int(rng.integers(-8, 20)), int(rng.integers(1, 12))
+        short = licenses.aligned(a.tolist(), b.tolist(), shift, band)
+        assert licenses.aligned_long(a, b, shift, band)[: 3 if short[0] > 0 else 1] == short[: 3 if short[0] > 0 else 1]
+
+
 def test_apportionment_is_by_highest_quotients():
     rng = random.Random(3)
     for _ in range(60):
