@@ -6,7 +6,9 @@ spelled digits become digits; written or bracketed at and dot become @ and a ful
 matches are mapped back. Matches that a plain one of the same kind already contains add nothing.
 
 Bare "at" and "dot" are common words, so they are rewritten only together, between parts of an address, and spelled digits only in runs
-of four. Spans are in code points of the source text, ends exclusive.
+of four. With a written dot the last label may be any of two or more letters; one that is not listed in DOMAINS
+needs an at sign, or a host that does not begin with an article or the like ("look at the dot on it"), and after "point" or "period" it may not be a function word.
+A bare at before a host with plain dots needs a listed label and a digit, dot or underscore in the local part. Spans are in code points of the source text, ends exclusive.
 
 Null and empty texts have no spans. Rows with null or repeated doc_id are read each by itself; extra columns are ignored by op1 and
 kept by masked. Empty tables give empty results.
@@ -55,7 +57,7 @@ NAMED = {name: str(d) for d, names in DIGIT_NAMES.items() for name in names.spli
 TELLING = set(NAMED) - {"un"}  # "un" alone is an article
 AT, DOT = "at|ät|arroba|arobase|klammeraffe", "dot|punkt|punto|point|period"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-#: Top-level domains that let a bare "at" count.
+#: Top-level domains that let a bare "at" count before plain dots.
 DOMAINS = "com|org|example|test|invalid|localhost|co|app|dev|us|ca|mx|br|se|no|pl|be|pt|net|edu|gov|info|io|de|fr|es|uk|eu|ch|at|it|nl"
 
 ONE = "|".join(sorted(NAMED, key=len, reverse=True))
@@ -63,7 +65,13 @@ SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?(?:(?:{ONE}|[0-9])(?:[\s,-]
 SPELLED_PART = re.compile(rf"(?P<d>{ONE})|(?P<p>plus)|(?P<dot>\s+(?:{DOT})\s+|\s*\.\s*)|(?P<gap>[\s,]+)", re.I)
 BRACKETED = re.compile(rf"\s*{OPEN}\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*{CLOSE}\s*", re.I)
 LABEL = r"[A-Za-z0-9-]+"
-BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:\s+(?:{AT})\s+|\s*@\s*){LABEL}(?:(?:\s+(?:{DOT})\s+|\.){LABEL})*\s+(?:{DOT})\s+(?:{DOMAINS})(?![A-Za-z0-9-])", re.I)
+BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:{AT})\s+|\s*@\s*){LABEL}(?:\.{LABEL})*(?P<rest>(?:\s+(?:{DOT})\s+{LABEL}(?:\.{LABEL})*)+)", re.I)
+WRITTEN_DOT = re.compile(rf"\s+(?P<dot>{DOT})\s+(?P<label>{LABEL})", re.I)
+TOP = re.compile(r"[A-Za-z]{2,}|xn--[a-z0-9-]+", re.I)
+LISTED = frozenset(DOMAINS.split("|"))
+#: Words before "dot" or "point" that tell a place, not a host; function words after "point" or "period" that go on with a sentence.
+NO_HOST = frozenset("a an the this that these those some any no each every which what one my your his her its our their der die das dem den ein eine einem einen le la les un une ce cet cette el los las al du".split())
+GOING_ON = frozenset("a am an and are as at be but by can could de des did do does du for from had has have he her his if in is it its la le les may me my no nor not of on or our per she should since so than that the their them then there they this to und until up us was we were what when where which while who will with would you your".split())
 BARE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]*[0-9._])[A-Za-z0-9._%+-]+\s+(?:{AT})\s+(?:{LABEL}\.)+(?:{DOMAINS})(?![A-Za-z0-9-])", re.I)
 BARE_PART = re.compile(rf"(?P<at>\s+(?:{AT})\s+|\s*@\s*)|(?P<dot>\s+(?:{DOT})\s+)", re.I)
 DOTTED_NUMBER = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s+(?:{DOT})\s+[0-9]{{1,3}}){{3}}(?!\w)", re.I)
@@ -154,10 +162,31 @@ def spelled(m: Mapped) -> None:
     m.rewrite([(p.start(), p.end(), "") for p in re.finditer(r"(?<=\+)\s+(?=[0-9])", m.text)])
 
 
+def addresses(text: str) -> Iterator[tuple[int, int, str]]:
+    """Edits of the at and the written dots of addresses, up to the last label that can end one."""
+    at = 0
+    while x := BARE.search(text, at):
+        edits, kept = [(x.start("at"), x.end("at"), "@")], 0
+        host = re.match(LABEL, text[x.end("at") :])[0].lower()
+        sure = "@" in x["at"] or host not in NO_HOST
+        for p in WRITTEN_DOT.finditer(text, x.start("rest"), x.end("rest")):
+            label, noun = p["label"].lower(), p["dot"].lower() in ("point", "period")
+            edits.append((p.start(), p.start("label"), "."))
+            if kept and noun and label not in LISTED and (len(label) != 2 or label in GOING_ON):
+                break
+            if label in LISTED or (TOP.fullmatch(label) and sure and not (noun and label in GOING_ON)):
+                kept, at = len(edits), p.end()
+        if kept:
+            yield from edits[:kept]
+        else:
+            at = x.end("at")
+
+
 def written(m: Mapped) -> None:
     """At and dot in brackets; then bare ones, between parts of an address or of four numbers."""
     m.rewrite([(x.start(), x.end(), "@" if x["at"] else ".") for x in BRACKETED.finditer(m.text)])
-    for pattern in (BARE, BARE_AT, DOTTED_NUMBER):
+    m.rewrite(list(addresses(m.text)))
+    for pattern in (BARE_AT, DOTTED_NUMBER):
         m.rewrite([(p.start(), p.end(), "@" if p["at"] else ".") for x in pattern.finditer(m.text) for p in BARE_PART.finditer(m.text, x.start(), x.end())])
 
 

@@ -98,6 +98,23 @@ def test_pii_samples():
         assert [(k, text[i:j]) for k, i, j in pii.ordered(base + pii.added(text, base))] == want, text
 
 
+def spans_of(text):
+    base = pii.matches(text)
+    return [(k, text[i:j]) for k, i, j in pii.ordered(base + pii.added(text, base))]
+
+
+@pytest.mark.parametrize("top", "ru jp in au ai me biz cn dk com museum".split())
+def test_pii_written_dot_with_any_top_level_label(top):
+    for own in (f"jane at firm dot {top}", f"jane (at) firm dot {top}", f"jane at mail dot firm dot {top}", f"jane [at] firm dot co dot {top}"):
+        assert spans_of(f"mail {own}, thanks") == [("email", own)]
+
+
+def test_pii_written_dots_of_sentences():
+    for text in ("look at the dot on it", "stand at this point we go", "look at that dot in red", "at boiling point of water", "it stops at one period in May"):
+        assert spans_of(text) == [], text
+    assert spans_of("bob at firm dot com period thanks") == [("email", "bob at firm dot com")]
+
+
 def test_pii_rows(docs, rows):
     got = by_id(pii.op1(docs))
     for k, x, *_ in rows:
