@@ -6,7 +6,7 @@ spelled digits become digits; written or bracketed at and dot become @ and a ful
 matches are mapped back. Matches that a plain one of the same kind already contains add nothing.
 
 Bare "at" and "dot" are common words, so they are rewritten only together, between parts of an address, and spelled digits only in runs
-of four. With a written dot the last label may be any of two or more letters; one that is not listed in DOMAINS
+of four or as four numbers with dots between them. With a written dot the last label may be any of two or more letters; one that is not listed in DOMAINS
 needs an at sign, or a host that does not begin with an article or the like ("look at the dot on it"), and after "point" or "period" it may not be a function word.
 A bare at before a host with plain dots needs a listed label and a digit, dot or underscore in the local part. Spans are in code points of the source text, ends exclusive.
 
@@ -75,6 +75,12 @@ GOING_ON = frozenset("a am an and are as at be but by can could de des did do do
 BARE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]*[0-9._])[A-Za-z0-9._%+-]+\s+(?:{AT})\s+(?:{LABEL}\.)+(?:{DOMAINS})(?![A-Za-z0-9-])", re.I)
 BARE_PART = re.compile(rf"(?P<at>\s+(?:{AT})\s+|\s*@\s*)|(?P<dot>\s+(?:{DOT})\s+)", re.I)
 DOTTED_NUMBER = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s+(?:{DOT})\s+[0-9]{{1,3}}){{3}}(?!\w)", re.I)
+DIGIT = rf"(?:{ONE}|[0-9])(?![A-Za-z0-9])"
+NUMBER = rf"(?:[0-9]+(?!\w)|{DIGIT}(?:[\s-]+{DIGIT})*)"
+IP_DOT = rf"(?:\s+(?:{DOT})\s+|\s*{OPEN}\s*(?:{DOT}|\.)\s*{CLOSE}\s*|\.)"
+SPELLED_IP = re.compile(rf"(?<!\w){NUMBER}(?:{IP_DOT}{NUMBER}){{3}}(?!\w)", re.I)
+SPELLED_IP_PART = re.compile(rf"(?P<dot>{IP_DOT})|(?P<d>{ONE}|[0-9])|(?P<gap>[\s-]+)", re.I)
+BEFORE_PHONE = re.compile(r"(?:plus|\+)[\s-]*\Z", re.I)
 LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[\x20-]?[0-9])")
 SIGNS = re.compile(rf"{OPEN}\s*(?:{AT}|{DOT}|[.@])\s*{CLOSE}|\s(?:{DOT})\s|\s(?:{AT})\s+(?:{LABEL}\.)+(?:{DOMAINS})|[0-9][OoIl][\x20-]?[0-9]", re.I)
 
@@ -151,6 +157,17 @@ def folded(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), "0" if x[0] in "Oo" else "1") for x in LETTER_DIGITS.finditer(m.text)])
 
 
+def spelled_ips(m: Mapped) -> None:
+    """Four numbers up to 255 of which a digit is spelled, with dots between them: the digits of a number are joined without their gaps."""
+    edits = []
+    for x in SPELLED_IP.finditer(m.text):
+        own = [(p.start(), p.end(), "." if p["dot"] else NAMED.get(p["d"].lower(), p["d"]) if p["d"] else "") for p in SPELLED_IP_PART.finditer(m.text, x.start(), x.end())]
+        plain = "".join(new for _, _, new in own)
+        if any(j - i > 1 and new.isdigit() for i, j, new in own) and all(1 <= len(n) <= 3 for n in plain.split(".")) and holds("ip", plain) and not BEFORE_PHONE.search(m.text, max(0, x.start() - 12), x.start()):
+            edits += own
+    m.rewrite(edits)
+
+
 def spelled(m: Mapped) -> None:
     """Runs of four or more digits of which three are spelled; gaps become single spaces, a written dot a full stop."""
     edits = []
@@ -198,7 +215,7 @@ def disguised(text: str, foreign: bool, marked: bool) -> bool:
     if (marked or any(x in low for x in DOT.split("|"))) and SIGNS.search(text):
         return True
     parts = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
-    return not TELLING.isdisjoint(parts) and SPELLED.search(text) is not None
+    return not TELLING.isdisjoint(parts) and (SPELLED.search(text) or SPELLED_IP.search(text)) is not None
 
 
 def added(text: str, base: list[tuple[str, int, int]], foreign: bool = True, marked: bool = True) -> list[tuple[str, int, int]]:
@@ -206,7 +223,7 @@ def added(text: str, base: list[tuple[str, int, int]], foreign: bool = True, mar
     if not disguised(text, foreign, marked):
         return []
     m = Mapped(text)
-    for step in (folded, spelled, written):
+    for step in (folded, spelled_ips, spelled, written):
         step(m)
     if m.text == text:
         return []

@@ -115,6 +115,15 @@ def test_pii_written_dots_of_sentences():
     assert spans_of("bob at firm dot com period thanks") == [("email", "bob at firm dot com")]
 
 
+def test_pii_spelled_ips():
+    for own in ("one nine two dot one six eight dot one dot one", "one zero dot two five five dot zero dot one two", "192 dot one six eight dot 1 dot ten".replace("ten", "one zero"), "one nine two [dot] one six eight [dot] one [dot] one"):
+        assert spans_of(f"host {own}, up") == [("ip", own)]
+    phone = "plus four nine dot one seven six dot one two three dot two five five"
+    assert spans_of(f"call {phone} now") == [("phone", phone)]
+    assert spans_of("three nine two dot one six eight dot one dot one") == []
+    assert spans_of("one dot two dot three dot four") == [("ip", "one dot two dot three dot four")]
+
+
 def test_pii_rows(docs, rows):
     got = by_id(pii.op1(docs))
     for k, x, *_ in rows:
