@@ -1,10 +1,9 @@
-"""Operator 10: substring deduplication with prefix-partitioned suffix trees.
+"""Operator 10: substring deduplication by hashes of fixed windows in prefix-partitioned groups of suffixes.
 
-Suffixes are taken at word boundaries, and trees are cut at ``length`` words: an internal node as deep as that is a repeat, and every suffix below it
-begins a repeated window. Variable-length prefixes split the suffixes into groups that fit memory: all suffixes are counted by
+No suffix tree is built: no common prefix depths, internal nodes or maximal repeats. Suffixes are taken at word boundaries and cut at ``length`` words, and
+every one whose window is found twice begins a repeat; what the result needs of a tree is only which leaves share a node of that depth. Variable-length prefixes split the suffixes into groups that fit memory: all suffixes are counted by
 their first 1, 3 and 9 words in tables of fixed size; a prefix that is found too often for one group is extended to the next length,
-and at the full length it is a node by itself. Each group sorts its suffixes, as the leaves of its subtree in order, and the depths at which neighbours
-part are those of the internal nodes. Suffixes are compared by 96 bits of hashes of their words.
+and at the full length it is dealt by the whole window. Each group sorts the keys of its windows, 96 bits of hashes of their words, and marks equal ones.
 
 Before that, suffixes that cannot be repeated are left out. The smallest hash among the 18-word runs of a window is its anchor; equal windows have
 equal anchors, so a window whose anchor is found once in the corpus is unique. That filter is exact in this direction, and about a
