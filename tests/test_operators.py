@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -112,3 +113,16 @@ def test_null_keeps_the_number_of_incidents(spark, sf):
 def test_vectors_ignore_node_ids(spark, sf):
     rows = {r["zone"]: r["vector"] for r in catalog.queries()["netlsd"](spark, sf).collect()}
     assert len({tuple(v) for z, v in rows.items()}) < len(rows)  # equal zones have equal signatures
+
+
+def test_matched_pairs_go_on_after_a_hot_member(spark):
+    """A member with more and better pairs than all others still leaves room for as many pairs as asked for."""
+    hot = [(0, b, 9.0 - b / 10000, 0.1) for b in range(1, 2501)]
+    rest = [(a, a + 1, 2.0 - a / 10000, 0.1) for a in range(1, 200, 2)] + [(a, a + 2, 1.5, a / 1000) for a in range(1, 60)]
+    rows, used, want = hot + rest, Counter(), []
+    for a, b, ratio, distance in sorted(rows, key=lambda r: (-r[2], r[3], r[0], r[1])):
+        if len(want) < 25 and used[a] < 2 and used[b] < 2:
+            used.update((a, b))
+            want.append((a, b, ratio, distance))
+    got = tracking.capped_pairs(spark.createDataFrame(rows, "a long, b long, ratio double, distance double").repartition(3))
+    assert [tuple(r) for r in got.collect()] == want and len(want) == 25
