@@ -26,5 +26,5 @@ def components(links: DataFrame) -> DataFrame:
         if labels.where("changed").isEmpty():
             scratch.drop(edges)
             out = labels.select("id", "component")
-            out._scratch_path = labels._scratch_path
+            out._scratch = labels._scratch
             return out

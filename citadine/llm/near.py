@@ -39,6 +39,7 @@ SKETCH_PARTS = 32
 EXTRA = 20
 SETS = "kind int, doc_id long, d long, t int, n int, c1 long, c2 long, sketch binary"
 LONG = 1000
+BUCKET_SHINGLES = 4_000_000  # of some 32 MB of text
 ENTRIES = "kind int, token long, n int, g1 long, g2 int, c1 long, c2 long"
 SALT = np.uint64(0xA24BAED4963EE407)
 
@@ -216,14 +217,15 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
     """doc_id, d, t (the row's key), n_shingles, cid (its class) and component (null without links)."""
     base = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"))
     sets = scratch.table(base.mapInArrow(_sets, SETS), "sets")
+    rows = sets.where("kind = 0")
     sketch = np.zeros((SKETCH_PARTS, (1 << BITS) // SKETCH_PARTS), np.int64)
     for r in sets.where("kind = 1").groupBy("d").applyInArrow(_sum_sketches, "part long, sketch binary").collect():  # a table of fixed size
         sketch[r["part"]] = np.frombuffer(r["sketch"], np.int64)
-    buckets = max(24, scratch.input_bytes(docs) >> 25)
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(24, total // BUCKET_SHINGLES)
     dealt = base.select("text").mapInArrow(_prefixes(frequency_classes(sketch.ravel()), buckets), located.DEALT)
     entries = scratch.table(dealt.groupBy("bucket").applyInArrow(_shared_prefixes, ENTRIES), "prefixes")
 
-    rows = sets.where("kind = 0")
     of_class = entries.where("kind = 1").select("c1", "c2", "g1", "g2", "n").distinct()
     firsts = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("d", "t")).alias("first"))
     ids = F.monotonically_increasing_id()

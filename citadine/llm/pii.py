@@ -10,6 +10,9 @@ of four or as four numbers with dots between them. With a written dot the last l
 needs an at sign, or a host that does not begin with an article or the like ("look at the dot on it"), and after "point" or "period" it may not be a function word.
 A bare at before a host with plain dots needs a listed label and a digit, dot or underscore in the local part. Spans are in code points of the source text, ends exclusive.
 
+Every step takes time in proportion to the text, whatever it holds. Addresses are found from their @ outwards, numbers from the beginning of a run of digits, and runs of blanks
+are shortened to two characters before anything is rewritten.
+
 Null and empty texts have no spans. Rows with null or repeated doc_id are read each by itself; extra columns are ignored by op1 and
 kept by masked. Empty tables give empty results.
 """
@@ -19,7 +22,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from string import ascii_letters, digits
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +33,12 @@ from pyspark.sql import DataFrame
 from citadine.llm import words
 
 KINDS = ("email", "ip", "card", "phone")
-#: The plain patterns.
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+LOCAL = ascii_letters + digits + "._%+-"
+HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+#: The plain patterns but for that of addresses, so that no run of characters is tried from each of its places: an IP or card number can only begin where digits do.
+NUMBERS = {
+    "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
+    "card": re.compile(r"[0-9]++(?:[\x20-][0-9]++)*+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 #: Letters of other scripts and the Latin letters that they look like; signs that look like a dot, dash, plus or at; invisible characters.
@@ -63,8 +69,10 @@ DOMAINS = "com|org|example|test|invalid|localhost|co|app|dev|us|ca|mx|br|se|no|p
 ONE = "|".join(sorted(NAMED, key=len, reverse=True))
 SPELLED = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s-]*)?(?:(?:{ONE}|[0-9])(?:[\s,-]+|\s*\.\s*|\s+(?:{DOT})\s+)){{3,}}(?:{ONE}|[0-9])(?!\w)", re.I)
 SPELLED_PART = re.compile(rf"(?P<d>{ONE})|(?P<p>plus)|(?P<dot>\s+(?:{DOT})\s+|\s*\.\s*)|(?P<gap>[\s,]+)", re.I)
+BLANKS = re.compile(r"\s{3,}")
 BRACKETED = re.compile(rf"\s*{OPEN}\s*(?:(?P<at>{AT}|@)|(?P<dot>{DOT}|\.))\s*{CLOSE}\s*", re.I)
 LABEL = r"[A-Za-z0-9-]+"
+LABELS = re.compile(LABEL)
 BARE = re.compile(rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?P<at>\s+(?:{AT})\s+|\s*@\s*){LABEL}(?:\.{LABEL})*(?P<rest>(?:\s+(?:{DOT})\s+{LABEL}(?:\.{LABEL})*)+)", re.I)
 WRITTEN_DOT = re.compile(rf"\s+(?P<dot>{DOT})\s+(?P<label>{LABEL})", re.I)
 TOP = re.compile(r"[A-Za-z]{2,}|xn--[a-z0-9-]+", re.I)
@@ -76,11 +84,11 @@ BARE_AT = re.compile(rf"(?<![A-Za-z0-9._%+-])(?=[A-Za-z%+-]*[0-9._])[A-Za-z0-9._
 BARE_PART = re.compile(rf"(?P<at>\s+(?:{AT})\s+|\s*@\s*)|(?P<dot>\s+(?:{DOT})\s+)", re.I)
 DOTTED_NUMBER = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:\s+(?:{DOT})\s+[0-9]{{1,3}}){{3}}(?!\w)", re.I)
 DIGIT = rf"(?:{ONE}|[0-9])(?![A-Za-z0-9])"
-NUMBER = rf"(?:[0-9]+(?!\w)|{DIGIT}(?:[\s-]+{DIGIT})*)"
+NUMBER = rf"(?:[0-9]+(?!\w)|{DIGIT}(?:[\s-]+{DIGIT}){{0,2}})"
 IP_DOT = rf"(?:\s+(?:{DOT})\s+|\s*{OPEN}\s*(?:{DOT}|\.)\s*{CLOSE}\s*|\.)"
-SPELLED_IP = re.compile(rf"(?<!\w){NUMBER}(?:{IP_DOT}{NUMBER}){{3}}(?!\w)", re.I)
+SPELLED_IP = re.compile(rf"(?<!\w){NUMBER}(?:{IP_DOT}{NUMBER}){{3}}(?!\w)(?![\s-]+{DIGIT})", re.I)
 SPELLED_IP_PART = re.compile(rf"(?P<dot>{IP_DOT})|(?P<d>{ONE}|[0-9])|(?P<gap>[\s-]+)", re.I)
-BEFORE_PHONE = re.compile(r"(?:plus|\+)[\s-]*\Z", re.I)
+BEFORE_IP = re.compile(rf"(?:(?:plus|\+)[\s-]*|(?<!\w)(?:{ONE}|[0-9])[\s-]+)\Z", re.I)
 LETTER_DIGITS = re.compile(r"(?<=[0-9])[OoIl](?=[\x20-]?[0-9])")
 SIGNS = re.compile(rf"{OPEN}\s*(?:{AT}|{DOT}|[.@])\s*{CLOSE}|\s(?:{DOT})\s|\s(?:{AT})\s+(?:{LABEL}\.)+(?:{DOMAINS})|[0-9][OoIl][\x20-]?[0-9]", re.I)
 
@@ -110,9 +118,12 @@ MARK = np.zeros(256, bool)
 MARK[list(b"[({<0123456789@")] = True
 
 
-def luhn(digits: str) -> bool:
+NO_SIGNS = str.maketrans("", "", " ()+.-")
+
+
+def luhn(number: str) -> bool:
     total = 0
-    for k, c in enumerate(reversed(digits)):
+    for k, c in enumerate(reversed(number)):
         x = int(c) * (1 + k % 2)
         total += x - 9 * (x > 9)
     return total % 10 == 0
@@ -120,16 +131,36 @@ def luhn(digits: str) -> bool:
 
 def holds(kind: str, found: str) -> bool:
     if kind == "ip":
-        return all(int(x) <= 255 for x in found.split("."))
-    n = sum("0" <= c <= "9" for c in found)
+        parts = [x.lstrip("0") for x in found.split(".")]
+        return all(len(x) <= 3 and int(x or "0") <= 255 for x in parts)
+    only = found.translate(NO_SIGNS)
     if kind == "card":
-        return 13 <= n <= 19 and luhn("".join(c for c in found if "0" <= c <= "9"))
-    return kind == "email" or 9 <= n <= 15
+        return 13 <= len(only) <= 19 and luhn(only)
+    return 9 <= len(only) <= 15
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that don't overlap: from each @ back over all that can be before it, but not into the match before, and forth over its host."""
+    free, at = 0, text.find("@")
+    while at >= 0:
+        before = text[free:at]
+        begin = free + len(before.rstrip(LOCAL))
+        host = HOST.match(text, at + 1) if begin < at else None
+        if host:
+            yield begin, host.end()
+        free = host.end() if host else at + 1
+        at = text.find("@", free)
 
 
 def matches(text: str, kinds=KINDS) -> list[tuple[str, int, int]]:
     """Leftmost matches that don't overlap, for each kind; those that fail its condition go, without another try."""
-    return [(kind, m.start(), m.end()) for kind in kinds for m in PATTERNS[kind].finditer(text) if holds(kind, m[0])]
+    out = []
+    for kind in kinds:
+        if kind == "email":
+            out += [(kind, i, j) for i, j in emails(text)]
+        else:
+            out += [(kind, m.start(), m.end()) for m in NUMBERS[kind].finditer(text) if holds(kind, m[0])]
+    return out
 
 
 class Mapped:
@@ -152,6 +183,11 @@ class Mapped:
         self.starts, self.ends = starts + self.starts[at:], ends + self.ends[at:]
 
 
+def squeezed(m: Mapped) -> None:
+    """Of a run of blanks the first two stay, so that no pattern sees a long one."""
+    m.rewrite([(x.start() + 2, x.end(), "") for x in BLANKS.finditer(m.text)])
+
+
 def folded(m: Mapped) -> None:
     m.rewrite([(x.start(), x.end(), FOLDS[ord(x[0])]) for x in FOREIGN.finditer(m.text)])
     m.rewrite([(x.start(), x.end(), "0" if x[0] in "Oo" else "1") for x in LETTER_DIGITS.finditer(m.text)])
@@ -163,7 +199,7 @@ def spelled_ips(m: Mapped) -> None:
     for x in SPELLED_IP.finditer(m.text):
         own = [(p.start(), p.end(), "." if p["dot"] else NAMED.get(p["d"].lower(), p["d"]) if p["d"] else "") for p in SPELLED_IP_PART.finditer(m.text, x.start(), x.end())]
         plain = "".join(new for _, _, new in own)
-        if any(j - i > 1 and new.isdigit() for i, j, new in own) and all(1 <= len(n) <= 3 for n in plain.split(".")) and holds("ip", plain) and not BEFORE_PHONE.search(m.text, max(0, x.start() - 12), x.start()):
+        if any(j - i > 1 and new.isdigit() for i, j, new in own) and all(1 <= len(n) <= 3 for n in plain.split(".")) and holds("ip", plain) and not BEFORE_IP.search(m.text[max(0, x.start() - 12) : x.start()]):
             edits += own
     m.rewrite(edits)
 
@@ -184,7 +220,7 @@ def addresses(text: str) -> Iterator[tuple[int, int, str]]:
     at = 0
     while x := BARE.search(text, at):
         edits, kept = [(x.start("at"), x.end("at"), "@")], 0
-        host = re.match(LABEL, text[x.end("at") :])[0].lower()
+        host = LABELS.match(text, x.end("at"))[0].lower()
         sure = "@" in x["at"] or host not in NO_HOST
         for p in WRITTEN_DOT.finditer(text, x.start("rest"), x.end("rest")):
             label, noun = p["label"].lower(), p["dot"].lower() in ("point", "period")
@@ -220,18 +256,23 @@ def disguised(text: str, foreign: bool, marked: bool) -> bool:
 
 def added(text: str, base: list[tuple[str, int, int]], foreign: bool = True, marked: bool = True) -> list[tuple[str, int, int]]:
     """Spans that only the rewritten text shows."""
-    if not disguised(text, foreign, marked):
+    short = BLANKS.sub(lambda x: x[0][:2], text)
+    if not disguised(short, foreign, marked):
         return []
     m = Mapped(text)
+    if short != text:
+        squeezed(m)
     for step in (folded, spelled_ips, spelled, written):
         step(m)
-    if m.text == text:
+    if m.text == short:
         return []
     out = []
+    known = {k: [(a, b) for kind, a, b in base if kind == k] for k in KINDS}
     for kind, i, j in matches(m.text):
-        span = kind, m.starts[i], m.ends[j - 1]
-        if not any(k == kind and a <= span[1] and span[2] <= b for k, a, b in base):
-            out.append(span)
+        begin, end = m.starts[i], m.ends[j - 1]
+        at = bisect_right(known[kind], (begin, len(text) + 1)) - 1  # the last that begins no later; plain ones of a kind don't overlap
+        if at < 0 or known[kind][at][1] < end:
+            out.append((kind, begin, end))
     return out
 
 
@@ -259,13 +300,13 @@ def found_in(piece: pa.RecordBatch) -> Iterator[tuple[list[tuple[str, int, int]]
         yield base, ordered(base + added(text, base, has_foreign, has_mark))
 
 
-RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in words.pieces(batches):
-        rows = [(*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base)) for base, spans in found_in(piece)]
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
+        rows = [(*(sum(s[0] == k for s in base) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base), len(spans)) for base, spans in found_in(piece)]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()] * 2
         yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *(pa.array(x, k) for x, k in zip(zip(*rows), kinds))], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
@@ -277,11 +318,12 @@ def _mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in words.pieces(batches):
         texts = []
         for text, (_, spans) in zip(piece.column("text").to_pylist(), found_in(piece)):
-            at = len(text or "")
+            at, parts = len(text or ""), []
             for k, i, j in sorted(spans, key=lambda s: (-s[2], s[1])):
                 if j <= at:
-                    text, at = text[:i] + f"<{k}>" + text[j:], i
-            texts.append(text)
+                    parts += [text[j:at], f"<{k}>"]
+                    at = i
+            texts.append(text[:at] + "".join(reversed(parts)) if parts else text)
         k = piece.schema.get_field_index("text")
         yield piece.set_column(k, "text", pa.array(texts, pa.string()))
 

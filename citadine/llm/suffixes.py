@@ -184,7 +184,7 @@ def _kept(length: int, digests: bool):
 def removed(docs: DataFrame, length: int = LENGTH, digests: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed and the kept words joined by spaces (their sha256, if ``digests``)."""
     base = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"))
-    buckets = max(24, scratch.input_bytes(docs) >> 25)  # of some 32 MB of input; two buckets per core at least on a small cluster
+    buckets = max(24, scratch.text_bytes(docs) >> 25)  # of some 32 MB of input; two buckets per core at least on a small cluster
     dealt = base.select("d", "t", "text").mapInArrow(_anchors(length, buckets), located.DEALT)
     found = scratch.table(dealt.groupBy("bucket").applyInArrow(_repeated_anchors, located.PLACES), "anchors")
     counts = found.where("kind = 1").collect()  # tables of fixed size
