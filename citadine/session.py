@@ -15,10 +15,11 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local(cpus: int | str = "*", memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks on one machine."""
+def local(cpus: int | str = "*", memory: str = "8g", shared: str | None = None) -> SparkSession:
+    """A session for tests and benchmarks on one machine; ``shared`` is its folder for intermediate tables."""
+    builder = SparkSession.builder.config("spark.checkpoint.dir", shared) if shared else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")

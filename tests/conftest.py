@@ -11,9 +11,7 @@ from citadine import session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    out = session.local(4, "4g")
-    if not out.conf.get("spark.checkpoint.dir", None):
-        out.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('shared')}")
+    out = session.local(4, "4g", f"file://{tmp_path_factory.mktemp('shared')}")
     yield out
 
 
