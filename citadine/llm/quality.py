@@ -1,13 +1,14 @@
 """Operator 8: quality by weak supervision.
 
-Rules vote good (1) or bad (-1) on a document, or abstain (0). Documents with the
+Rules vote good (1) or bad (-1) on a document, or abstain (0). Each rule errs: prose may be short, repeat itself or have few full stops. Documents with the
 same votes count as one pattern; expectation-maximisation over the pattern counts
-estimates each rule's accuracy and the share of good documents, and the posterior
-probability of being good decides. There are at most 3 ** len(RULES) patterns,
+estimates how often each rule votes so on good and on bad documents, and the share of good documents, and the posterior
+probability of being good decides. So a document with a bad vote of a rule that good documents often fail stays, if the other rules speak for it, and one
+without any goes if its abstentions are those of bad documents. There are at most 3 ** len(RULES) patterns,
 whatever the number of documents, so only they come to the driver.
 
 Null and empty texts have no words and fail the base rules. Rows with a null
-or repeated doc_id are judged each by its own text. Extra columns are ignored.
+or repeated doc_id are judged each by its own text. Extra columns, whatever their names, are ignored by op8 and kept by keep.
 An empty table gives an empty result.
 """
 
@@ -35,14 +36,14 @@ COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 
 #: name, value, good from/to, bad below/above: a rule votes good inside the first range, bad outside the second, and abstains between.
 RULES = (
-    ("length", "n_words", (100, math.inf), (50, math.inf)),
-    ("word_length", "try_divide(word_chars, n_words)", (3, 9), (2, 14)),
+    ("length", "n_words", (100, math.inf), (75, math.inf)),
+    ("word_length", "try_divide(word_chars, n_words)", (4.5, 5.6), (4.2, 7)),
     ("symbols", "try_divide(n_symbols, n_words)", (0, 0.1), (0, 0.3)),
     ("symbol_share", "try_divide(n_symbols, word_chars)", (0, 0.02), (0, 0.05)),
-    ("repeats", "try_divide(n_repeat_words, n_words)", (0, 0.3), (0, 0.5)),
-    ("lines", "try_divide(n_dup_lines, n_lines)", (0, 0.2), (0, 0.5)),
-    ("closed", "try_divide(n_closed, n_words)", (0.02, 0.4), (0.005, 0.7)),
-    ("lettered", "try_divide(n_lettered, n_words)", (0.9, 1), (0.7, 1)),
+    ("repeats", "try_divide(n_repeat_words, n_words)", (0, 0.05), (0, 0.2)),
+    ("closed", "try_divide(n_closed, n_words)", (0.05, 0.15), (0.03, 0.2)),
+    ("lettered", "try_divide(n_lettered, n_words)", (0.97, 1), (0.9, 1)),
+    ("line_words", "try_divide(n_words, n_lines)", (10, 150), (6, 400)),
 )
 
 
@@ -91,33 +92,33 @@ def votes(rules=RULES):
     return F.array(*out)
 
 
-def posteriors(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 200) -> np.ndarray:
-    """Probability of good for each pattern, by EM from the belief that a document without bad votes is good.
+def fitted(patterns: list[tuple[int, ...]], counts: list[int], rounds: int = 2000) -> tuple[np.ndarray, np.ndarray, float]:
+    """By EM: the probability of good for each pattern; the shares of bad, abstaining and good votes of each rule on good (0) and on bad documents (1); and the share of good ones.
 
-    Given the class, rules vote independently; each has its own probabilities of voting bad, abstaining and
-    voting good on good and on bad documents, so a good vote of a rule that junk often passes says little. No rule
-    may come to vote bad more often on good documents than on bad ones. Counts are whole numbers, so the result
-    doesn't depend on row order. Without votes, or with too few documents to tell, the initial belief stands out.
+    Given the class, rules vote independently. The start is each pattern's share of good among its votes; from there the estimates move freely, but for half
+    a vote of each kind that is added to every share. Of the two classes that come out the good one is that on which rules vote good more often. Counts are whole
+    numbers, so the result doesn't depend on the order of rows.
     """
-    if not patterns:
-        return np.zeros(0)
     vote, count = np.array(patterns, int).reshape(len(patterns), -1), np.array(counts, float)
-    good = np.where((vote < 0).any(1), 0.05, 0.95)
     is_vote = np.stack([vote == v for v in (-1, 0, 1)], 2).astype(float)  # pattern, rule, vote
+    good = ((vote > 0).sum(1) + 1) / ((vote != 0).sum(1) + 2)
     for _ in range(rounds):
-        shares = []
-        for weight in (good * count, (1 - good) * count):
-            seen = np.einsum("p,prv->rv", weight, is_vote)
-            shares.append((seen + 0.5) / (seen.sum(1, keepdims=True) + 1.5))
-        shares[1][:, 0] = np.maximum(shares[1][:, 0], shares[0][:, 0])
-        shares[1] /= shares[1].sum(1, keepdims=True)
-        prior = np.clip((good * count).sum() / max(count.sum(), 1), 0.01, 0.99)
+        weights = np.stack([good * count, (1 - good) * count])
+        shares = np.einsum("cp,prv->crv", weights, is_vote) + 0.5
+        shares /= shares.sum(2, keepdims=True)
+        prior = float(np.clip(weights[0].sum() / count.sum(), 0.01, 0.99))
         odds = math.log(prior / (1 - prior)) + np.einsum("prv,rv->p", is_vote, np.log(shares[0] / shares[1]))
         new = 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
-        if np.abs(new - good).max(initial=0) < 1e-12:
+        moved, good = np.abs(new - good).max(), new
+        if moved < 1e-10:
             break
-        good = new
-    return np.round(good, 9)
+    lean = (shares[:, :, 2] - shares[:, :, 0]).sum(1)
+    return (good, shares, prior) if lean[0] >= lean[1] else (1 - good, shares[::-1], 1 - prior)
+
+
+def posteriors(patterns: list[tuple[int, ...]], counts: list[int]) -> np.ndarray:
+    """Probability of good for each pattern, to nine digits."""
+    return np.round(fitted(patterns, counts)[0], 9) if patterns else np.zeros(0)
 
 
 def counted(rows: DataFrame, passed: str, rules=RULES) -> DataFrame:
@@ -151,8 +152,7 @@ def op8(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """The documents that the verdict keeps, all columns as they were. Texts are read twice instead of being shuffled."""
-    patterns = learned(scratch.table(counted(docs.select("doc_id", "text"), "doc_id", rules).select("votes"), "votes"))
+    """The documents that the verdict keeps, all columns as they were. Texts are read and counted once; their rows wait with their votes in a written table."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    judged = counted(docs.select(row, F.col("text")), "row", rules)
-    return verdict(judged, patterns, threshold).where("kept").select("row.*")
+    judged = scratch.table(counted(docs.select(row, F.col("text")), "row", rules).select("row", "votes", "base_failed"), "judged")
+    return verdict(judged, learned(judged), threshold).where("kept").select("row.*")

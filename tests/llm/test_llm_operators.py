@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on documents with nulls, repeats, ties and clashing columns."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -344,12 +345,66 @@ def test_quality(docs, rows):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {k for k, r in got.items() if r["kept"]}
 
 
-def test_quality_agrees_with_labels(spark):
-    sf = "/root/testdata/sf0.01"
-    got = by_id(quality.op8(queries.documents(spark, sf)))
-    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
-        if not got[r["doc_id"]]["base_failed"]:
-            assert got[r["doc_id"]]["kept"] == bool(r["quality"])
+def all_must_pass(judged):
+    """The filter that the posterior replaces: no bad vote of any rule."""
+    return judged.withColumn("passed", ~F.col("base_failed") & ~F.exists("votes", lambda v: v < 0))
+
+
+def test_quality_agrees_with_labels_better_than_all_must_pass(spark):
+    sf = "/root/testdata/sf0.1"
+    got = by_id(all_must_pass(quality.quality(queries.documents(spark, sf))))
+    labels = [(got[r["doc_id"]], bool(r["quality"])) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if not got[r["doc_id"]]["base_failed"]]
+    agree = {c: sum(d[c] == want for d, want in labels) / len(labels) for c in ("kept", "passed")}
+    assert agree["kept"] > 0.99 > agree["passed"] + 0.02
+    stays = [d for d in got.values() if d["kept"] and not d["passed"]]
+    assert len(stays) > 200 and all(d["quality"] >= 0.5 and -1 in d["votes"] for d in stays)  # one rule erred, the others outvote it
+    assert any(d["passed"] and not d["kept"] for d in got.values())
+
+
+def drawn_votes(n, share, on_good, on_bad):
+    """Votes of rules with known shares of bad, abstaining and good votes."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    good = rng.random(n) < share
+    votes = np.stack([np.where(good, rng.choice([-1, 0, 1], n, p=g), rng.choice([-1, 0, 1], n, p=b)) for g, b in zip(on_good, on_bad)], 1)
+    return good, [tuple(v) for v in votes.tolist()]
+
+
+ON_GOOD = [(0.05, 0.15, 0.8), (0.2, 0.2, 0.6), (0.02, 0.5, 0.48), (0.1, 0.1, 0.8), (0.3, 0.3, 0.4)]
+ON_BAD = [(0.7, 0.2, 0.1), (0.5, 0.2, 0.3), (0.4, 0.5, 0.1), (0.8, 0.1, 0.1), (0.35, 0.3, 0.35)]
+
+
+def test_posteriors_recover_known_accuracies():
+    import numpy as np
+
+    good, votes = drawn_votes(60000, 0.7, ON_GOOD, ON_BAD)
+    seen = Counter(votes)
+    found, shares, prior = quality.fitted(list(seen), list(seen.values()))
+    assert abs(prior - 0.7) < 0.02 and np.abs(shares - np.array([ON_GOOD, ON_BAD])).max() < 0.03
+    of = dict(zip(seen, found))
+    bayes = lambda v: 0.7 * np.prod([p[x + 1] for p, x in zip(ON_GOOD, v)]) / (0.7 * np.prod([p[x + 1] for p, x in zip(ON_GOOD, v)]) + 0.3 * np.prod([p[x + 1] for p, x in zip(ON_BAD, v)]))
+    assert sum(abs(of[v] - bayes(v)) * n for v, n in seen.items()) / len(votes) < 0.02
+    right = sum((of[v] >= 0.5) == g for v, g in zip(votes, good.tolist())) / len(votes)
+    assert right > sum((-1 not in v) == g for v, g in zip(votes, good.tolist())) / len(votes) + 0.1
+
+
+def test_em_over_patterns_equals_em_over_documents():
+    _, votes = drawn_votes(300, 0.6, ON_GOOD, ON_BAD)
+    belief = [(sum(x > 0 for x in v) + 1) / (sum(x != 0 for x in v) + 2) for v in votes]
+    for _ in range(2000):
+        shares = []
+        for w in (belief, [1 - b for b in belief]):
+            shares.append([[(sum(b for b, v in zip(w, votes) if v[r] == x) + 0.5) / (sum(w) + 1.5) for x in (-1, 0, 1)] for r in range(5)])
+        prior = sum(belief) / len(votes)
+        odds = [prior * math.prod(shares[0][r][v[r] + 1] for r in range(5)) / ((1 - prior) * math.prod(shares[1][r][v[r] + 1] for r in range(5))) for v in votes]
+        new = [o / (1 + o) for o in odds]
+        moved, belief = max(abs(a - b) for a, b in zip(new, belief)), new
+        if moved < 1e-10:
+            break
+    seen = Counter(votes)
+    of = dict(zip(seen, quality.posteriors(list(seen), list(seen.values()))))
+    assert max(abs(of[v] - b) for v, b in zip(votes, belief)) < 1e-6
 
 
 ODD = ["", "a" * 5000, "<|endoftext|>x<|startoftext|>", "<|ENDOFTEXT|>", "aaaa aaa", "it's IT'S don't", "\x1c\x85 é́ Σς İ ǅ ½Ⅷ 中文 🙂", "0129 1,5"]
