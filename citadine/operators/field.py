@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citadine import storage
+
 
 def node_counts(incidents: DataFrame, by: list[str]) -> DataFrame:
     """Incidents per group and node; unsnapped ones don't count."""
@@ -18,7 +20,7 @@ def kernel(arcs: DataFrame, cutoff: float, min_length: float, sources: DataFrame
     """Shortest distances up to ``cutoff``, inclusive: src, dst, d.
 
     Each round extends all paths by one arc and keeps the shortest; ``min_length`` bounds the number of rounds. Without ``sources``, all nodes
-    with an arc are sources. Where there are more than eight rounds, the lineage is cut every fourth.
+    with an arc are sources. Where there are more than eight rounds, every fourth is written and read again.
     """
     start = sources if sources is not None else arcs.select("src").distinct()
     reach = start.select("src", F.col("src").alias("dst"), F.lit(0.0).alias("d"))
@@ -28,18 +30,14 @@ def kernel(arcs: DataFrame, cutoff: float, min_length: float, sources: DataFrame
         further = reach.join(step, reach.dst == step.via).select("src", F.col("to").alias("dst"), (F.col("d") + F.col("length")).alias("d")).where(F.col("d") <= cutoff)
         reach = reach.unionByName(further).groupBy("src", "dst").agg(F.min("d").alias("d"))
         if k % 4 == 3 and k + 1 < rounds and rounds > 8:
-            reach = cut(reach)
+            reach = storage.saved(reach, "reach")
     return reach
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder; tests have one of their own."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/citadine-checkpoints")
-    return df.checkpoint()
+def stored_kernel(arcs: DataFrame, cutoff: float, min_length: float) -> DataFrame:
+    """The kernel of all nodes, written once for each network and cutoff and read from then on; it doesn't depend on the month, sigma (below the cutoff) or replicate."""
+    spark = arcs.sparkSession
+    return storage.cached(spark, "kernel", {"cutoff": cutoff}, [arcs.select("src", "dst", "length")], lambda: kernel(arcs, cutoff, min_length), ["src"])
 
 
 def density_field(counts: DataFrame, distances: DataFrame, sigma: float, by: list[str]) -> DataFrame:
@@ -48,8 +46,10 @@ def density_field(counts: DataFrame, distances: DataFrame, sigma: float, by: lis
     return counts.withColumnRenamed("node_id", "src").join(distances, "src").groupBy(*by, F.col("dst").alias("node_id")).agg(F.sum(F.col("c") * weight).alias("f"))
 
 
-def above_floor(field: DataFrame, ratio: float, by: list[str]) -> DataFrame:
-    return field.withColumn("top", F.max("f").over(Window.partitionBy(*by))).where(F.col("f") >= ratio * F.col("top")).drop("top")
+def above_floor(field: DataFrame, ratio: float | str, by: list[str]) -> DataFrame:
+    """Nodes at or above a share (a number or a column) of their group's highest value."""
+    limit = F.col(ratio) if isinstance(ratio, str) else F.lit(ratio)
+    return field.withColumn("top", F.max("f").over(Window.partitionBy(*by))).where(F.col("f") >= limit * F.col("top")).drop("top")
 
 
 def local_maxima(field: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:

@@ -1,103 +1,227 @@
-"""Connected regions of a field by a sweep with persistence, grown baselines, and null replicates.
+"""Connected regions of a field with persistence, grown regions, and null replicates.
 
-A sweep needs one month's whole field in height order, so each (group) is one grouped map; months, replicates and parameter points run in parallel. What
-a task holds is one month's field above the floor and the arcs among its nodes, which come to it as rows, not by broadcast.
+Regions are a spanning forest. Arcs are sorted by their lower end, and the first pass over them, which knows no threshold, gives each peak its saddle: where
+its hill first meets a higher one. The peaks that rise far enough above their saddles are kept, and a second pass joins the ends of arcs, highest first, unless that would
+join two kept peaks. One tree so serves any number of thresholds.
+
+A month's field above its floor is one task's work; months, replicates and parameters run in parallel. The network goes to the tasks as arrays, a broadcast of checked
+size; a larger network's arcs come to each group as rows.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections import deque
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-REGION = "peak long, node_id long, persistence double, peak_f double"
+from citadine.operators.field import above_floor
 
+REGION = "peak long, node_id long, persistence double, peak_f double, f double"
+MOST_ARCS = 5_000_000
 
-def sweep(height: dict[int, float], neighbours: dict[int, list[int]], tau: float) -> tuple[dict[int, int], dict[int, float]]:
-    """The region (its peak) of every node, and each peak's persistence.
 
-    Nodes come from the highest down, smaller ids first among equals. A node joins the current region of one of its processed
-    neighbours, that with the highest peak; where regions meet, the others' persistence is what their peaks rise above here, and those below tau are absorbed. A peak
-    that meets again is measured again, so the last meeting stands.
-    """
-    home: dict[int, int] = {}
-    into: dict[int, int] = {}
-    persistence: dict[int, float] = {}
-
-    def current(p: int) -> int:
-        path = []
-        while p in into:
-            path.append(p)
-            p = into[p]
-        for q in path:
-            into[q] = p
-        return p
-
-    ranked = sorted(height, key=lambda v: (-height[v], v))
-    for v in ranked:
-        met = {current(home[u]) for u in neighbours.get(v, ()) if u in home}
-        if not met:
-            home[v], persistence[v] = v, height[v]
-            continue
-        best = min(met, key=lambda p: (-height[p], p))
-        home[v] = best
-        for p in met - {best}:
-            persistence[p] = height[p] - height[v]
-            if persistence[p] < tau:
-                into[p] = best
-    return {v: current(home[v]) for v in ranked}, persistence
-
-
-def _pairs(frame: pd.DataFrame) -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for a, b in zip(frame["src"].tolist(), frame["dst"].tolist()):
-        out.setdefault(a, []).append(b)
+@dataclass
+class Network:
+    """Nodes in order of their ids; the neighbours of node i are to[start[i]:start[i + 1]], in order."""
+
+    ids: np.ndarray
+    start: np.ndarray
+    to: np.ndarray
+
+    @classmethod
+    def of(cls, src: np.ndarray, dst: np.ndarray) -> Network:
+        ids, both = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = both.ravel()[: len(src)], both.ravel()[len(src) :]
+        order = np.lexsort((b, a))
+        return cls(ids, np.searchsorted(a[order], np.arange(len(ids) + 1)), b[order])
+
+    def places(self, nodes: np.ndarray) -> np.ndarray:
+        """Where nodes are in ``ids``, -1 for those without an arc."""
+        at = np.minimum(np.searchsorted(self.ids, nodes), max(0, len(self.ids) - 1))
+        return np.where(self.ids[at] == nodes, at, -1) if len(self.ids) else np.full(len(nodes), -1)
+
+    def within(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Arcs whose ends are both among ``nodes``, as places in it."""
+        at = self.places(nodes)
+        known = np.flatnonzero(at >= 0)
+        local = np.full(len(self.ids), -1)
+        local[at[known]] = known
+        n = self.start[at[known] + 1] - self.start[at[known]]
+        source = np.repeat(known, n)
+        target = local[self.to[np.repeat(self.start[at[known]] - (np.cumsum(n) - n), n) + np.arange(n.sum())]]
+        return source[target >= 0], target[target >= 0]
+
+    def near(self, node: int) -> list[int]:
+        at = int(np.searchsorted(self.ids, node))
+        return self.ids[self.to[self.start[at] : self.start[at + 1]]].tolist() if at < len(self.ids) and self.ids[at] == node else []
+
+
+def spread(arcs: DataFrame):
+    """The network as a broadcast, or None if it has more than MOST_ARCS arcs."""
+    if arcs.count() > MOST_ARCS:
+        return None
+    rows = arcs.select("src", "dst").toPandas()
+    return arcs.sparkSession.sparkContext.broadcast(Network.of(rows["src"].to_numpy(), rows["dst"].to_numpy()))
+
+
+class Forest:
+    """Hills of a field: places by rank, the highest first (the smaller id among equals), and arcs by their lower end."""
+
+    def __init__(self, ids: np.ndarray, heights: np.ndarray, source: np.ndarray, target: np.ndarray):
+        order = np.lexsort((ids, -heights))
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.ids, self.heights = ids[order], heights[order]
+        low, high = np.maximum(rank[source], rank[target]), np.minimum(rank[source], rank[target])
+        pairs = np.unique(np.stack([low, high], 1)[low > high], axis=0)
+        self.low, self.high = pairs[:, 0], pairs[:, 1]
+        self.saddle = self._saddles()
+
+    @staticmethod
+    def _top(above: list[int], x: int) -> int:
+        """The highest place of the hill that ``x`` is on; ways there are halved."""
+        while above[x] != x:
+            above[x] = above[above[x]]
+            x = above[x]
+        return x
+
+    def _saddles(self) -> np.ndarray:
+        """For each place that tops a hill the place where that first meets a higher hill; its own for slopes, and -1 where it never does."""
+        above, out = list(range(len(self.ids))), np.full(len(self.ids), -1)
+        for low, high in zip(self.low.tolist(), self.high.tolist()):
+            a, b = self._top(above, low), self._top(above, high)
+            if a != b:
+                lower = max(a, b)
+                above[lower], out[lower] = min(a, b), low
+        return out
+
+    def kept(self, tau: float, size: int) -> np.ndarray:
+        """Whether a place among the first ``size`` is a peak that rises ``tau`` or more above its saddle, or meets no higher one there."""
+        saddle, place = self.saddle[:size], np.arange(size)
+        free = (saddle < 0) | (saddle >= size)
+        return free | ((saddle != place) & (self.heights[:size] - self.heights[np.where(free, 0, saddle)] >= tau))
+
+    def regions(self, tau: float, size: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Of the ``size`` highest places (all, if not given) the peak (by rank) of each one's region, and what each region's peak rises above the last place where it meets a higher
+        region (its whole height if there is none)."""
+        size = len(self.ids) if size is None else size
+        n = int(np.searchsorted(self.low, size))
+        low, high = self.low[:n], self.high[:n]
+        kept, above = self.kept(tau, size).tolist(), list(range(size))
+        cuts = np.append(np.flatnonzero(np.append(True, low[1:] != low[:-1])) if n else [], n).astype(int).tolist()
+        lows, highs = low.tolist(), high.tolist()
+        for i, j in zip(cuts, cuts[1:]):
+            tops = sorted({self._top(above, x) for x in highs[i:j]})
+            above[lows[i]] = tops[0]
+            for other in tops[1:]:
+                if not kept[other]:
+                    above[other] = tops[0]
+        home = np.array([self._top(above, x) for x in range(size)], np.int64)
+        last = np.full(size, -1)
+        border = home[low] != home[high]
+        np.maximum.at(last, home[high[border]], low[border])
+        return home, np.where(last < 0, self.heights[:size], self.heights[:size] - self.heights[last])
+
+
+def partitioned(ids: np.ndarray, heights: np.ndarray, source: np.ndarray, target: np.ndarray, taus: list[float]) -> list[pd.DataFrame]:
+    """For each threshold a row of REGION per node."""
+    forest, out = Forest(ids, heights, source, target), []
+    for tau in taus:
+        home, rise = forest.regions(tau)
+        out.append(pd.DataFrame({"peak": forest.ids[home], "node_id": forest.ids, "persistence": rise[home], "peak_f": forest.heights[home], "f": forest.heights}))
     return out
 
 
+def top_of(home: np.ndarray, counts: np.ndarray, ks: list[int]) -> list[tuple[int, int, int]]:
+    """Incidents, nodes and number of the first k regions by incidents and height of the peak, for each k; regions without incidents don't count."""
+    size, captured = np.bincount(home, minlength=len(home)), np.bincount(home, counts, len(home))
+    peaks = np.flatnonzero(captured > 0)
+    peaks = peaks[np.lexsort((peaks, -captured[peaks]))]
+    return [(int(captured[peaks[:k]].sum()), int(size[peaks[:k]].sum()), min(k, len(peaks))) for k in ks]
+
+
+SWEPT = "alpha double, f_min double, k int, captured long, nodes long, hotspots int"
+
+
+def swept(field: DataFrame, arcs: DataFrame, by: list[str], alphas: list[float], floors: list[float], ks: list[int]) -> DataFrame:
+    """For every group (a field f with counts c), persistence threshold, floor and number of regions: captured incidents, nodes and regions. A group's forest is
+    built once, above the lowest floor; a higher floor is its first places only."""
+    network = spread(arcs)
+    if network is None:
+        raise ValueError(f"more than {MOST_ARCS} arcs; split the network into districts")
+    kept = above_floor(field.where("f > 0"), min(floors), by)
+
+    def run(own: pd.DataFrame) -> pd.DataFrame:
+        ids, heights = own["node_id"].to_numpy(), own["f"].round(9).to_numpy()
+        forest = Forest(ids, heights, *network.value.within(ids))
+        counts = own.set_index("node_id")["c"].reindex(forest.ids).to_numpy()
+        exact = own.set_index("node_id")["f"].reindex(forest.ids).to_numpy()
+        top, rows = exact.max(), []
+        for floor in floors:
+            size = int((exact >= floor * top).sum())
+            for alpha in alphas:
+                home, _ = forest.regions(alpha * heights.max(), size)
+                rows += [(alpha, floor, k, *found) for k, found in zip(ks, top_of(home, counts[:size], ks))]
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in SWEPT.split(", ")])
+        return out.assign(**{c: own[c].iloc[0] for c in by})[[*by, *out.columns]]
+
+    types = dict(field.dtypes)
+    return kept.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in by), SWEPT]))
+
+
 def arcs_within(nodes: DataFrame, arcs: DataFrame, by: list[str]) -> DataFrame:
     """Arcs with both ends among a group's nodes."""
     ends = nodes.select(*by, F.col("node_id").alias("src"))
     return ends.join(arcs.select("src", "dst"), "src").join(nodes.select(*by, F.col("node_id").alias("dst")), [*by, "dst"]).select(*by, "src", "dst")
 
 
-def segment(field: DataFrame, arcs: DataFrame, by: list[str], alpha: float | str, floor: float) -> DataFrame:
-    """Regions of each group's field: by..., peak, node_id, persistence, peak_f. ``alpha`` may be one of the group's columns."""
-    from citadine.operators.field import above_floor
+def segment(field: DataFrame, arcs: DataFrame, by: list[str], alpha: float | list[float], floor: float | str, deal: list[str] | None = None) -> DataFrame:
+    """Regions of each group's field: by..., peak, node_id, persistence, peak_f. With a list of alphas each row also has its alpha, and a group is read once for all. ``floor`` may
+    be one of the group's columns; ``deal`` are columns whose rows are one task's work, if that is more than one group."""
+    kept = above_floor(field.where("f > 0"), floor, by).select(*by, "node_id", "f", *[c for c in deal or () if c not in by])
+    alphas = alpha if isinstance(alpha, list) else [alpha]
+    many = ["alpha"] if isinstance(alpha, list) else []
+    columns = [*by, *many, *(x.split()[0] for x in REGION.split(", "))]
+    types = dict(field.dtypes)
+    schema = ", ".join([*(f"{c} {types[c]}" for c in by), *(f"{c} double" for c in many), REGION])
 
-    kept = above_floor(field.where("f > 0"), floor, by)
+    def of_group(own: pd.DataFrame, arcs_of) -> list[pd.DataFrame]:
+        ids, heights = own["node_id"].to_numpy(), own["f"].round(9).to_numpy()
+        found = partitioned(ids, heights, *arcs_of(ids), [a * heights.max() for a in alphas])
+        return [x.assign(**{c: own[c].iloc[0] for c in by}, **dict.fromkeys(many, a))[columns] for x, a in zip(found, alphas)]
 
-    def run(heights: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-        if heights.empty:
-            return pd.DataFrame(columns=[*by, "peak", "node_id", "persistence", "peak_f"])
-        height = dict(zip(heights["node_id"].tolist(), heights["f"].round(9).tolist()))
-        home, persistence = sweep(height, _pairs(pairs), (heights[alpha].iloc[0] if isinstance(alpha, str) else alpha) * max(height.values()))
-        rows = pd.DataFrame({"peak": list(home.values()), "node_id": list(home)})
-        rows["persistence"], rows["peak_f"] = rows["peak"].map(persistence), rows["peak"].map(height)
-        for c in by:
-            rows[c] = heights[c].iloc[0]
-        return rows[[*by, "peak", "node_id", "persistence", "peak_f"]]
+    network = spread(arcs)
+    if network is not None:
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            return pd.concat([x for _, own in rows.groupby(by, sort=False) for x in of_group(own, network.value.within)])
+
+        return kept.groupBy(*(deal or by)).applyInPandas(run, schema)
+
+    def cogrouped(own: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if own.empty:
+            return pd.DataFrame(columns=columns)
+        own = own.sort_values("node_id")
+        places = lambda ids: tuple(np.searchsorted(ids, pairs[c].to_numpy()) for c in ("src", "dst"))
+        return pd.concat(of_group(own, places))
 
-    types = dict(field.dtypes)
     pairs = arcs_within(kept, arcs, by).select(*[F.col(c).alias(f"__{c}") for c in by], "src", "dst")
-    return kept.groupBy(*by).cogroup(pairs.groupBy(*[f"__{c}" for c in by])).applyInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in by), REGION]))
+    return kept.groupBy(*by).cogroup(pairs.groupBy(*[f"__{c}" for c in by])).applyInPandas(cogrouped, schema)
 
 
 def hotspots(regions: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     """One row per region with incidents: rank, score, nodes, density, seed; ranked by score, then peak height, then peak."""
-    from pyspark.sql.window import Window
-
     joined = regions.join(counts, [*by, "node_id"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
     scored = joined.groupBy(*by, "peak").agg(
         F.sum("c").cast("long").alias("score"),
         F.count("*").alias("n_nodes"),
         F.first("persistence").alias("persistence"),
         F.first("peak_f").alias("peak_f"),
-        F.max_by("node_id", F.struct("c", -F.col("node_id"))).alias("seed_node"),
+        F.max_by("node_id", F.struct("c", "f", -F.col("node_id"))).alias("seed_node"),
         F.sort_array(F.collect_list("node_id")).alias("nodes"),
     )
     order = Window.partitionBy(*by).orderBy(F.desc("score"), F.desc("peak_f"), "peak")
@@ -105,79 +229,68 @@ def hotspots(regions: DataFrame, counts: DataFrame, by: list[str]) -> DataFrame:
     return ranked.withColumn("density", F.col("score") / F.col("n_nodes"))
 
 
-def grow_nearest(seed: int, budget: int, neighbours: dict[int, list[int]], taken: set[int]) -> list[int]:
-    """Breadth first, up to ``budget`` nodes that no other region has."""
-    region, queue = [seed], deque([seed])
-    taken.add(seed)
-    while queue and len(region) < budget:
-        for u in neighbours.get(queue.popleft(), ()):
-            if u not in taken and len(region) < budget:
-                taken.add(u)
-                region.append(u)
-                queue.append(u)
-    return region
-
-
-def grow_hottest(seed: int, budget: int, neighbours: dict[int, list[int]], taken: set[int], count: dict[int, float]) -> list[int]:
-    """The frontier node with the most incidents first, smaller ids among equals."""
-    region, seen = [], {seed}
-    frontier = [(0.0, seed)]
-    while frontier and len(region) < budget:
-        v = heapq.heappop(frontier)[1]
-        if v in taken:
-            continue
-        taken.add(v)
-        region.append(v)
-        for u in neighbours.get(v, ()):
-            if u not in seen and u not in taken:
-                seen.add(u)
-                heapq.heappush(frontier, (-count.get(u, 0.0), u))
-    return region
-
-
-def grown(counts: DataFrame, arcs: DataFrame, by: list[str], regions: int, budget: int, hottest: bool = True) -> DataFrame:
-    """``regions`` grown regions of up to ``budget`` nodes per group: by..., rank, node_id, c; ranked by incidents.
-
-    A region cannot reach beyond ``budget`` arcs from its seed; the network is one table of arcs for all groups and goes to each task as a broadcast of
-    checked size: beyond ``MOST_ARCS`` the arcs of each group's surroundings would have to be joined first, and that is refused.
-    """
-    spark = counts.sparkSession
-    n = arcs.count()
-    if n > MOST_ARCS:
-        raise ValueError(f"{n} arcs are too many for a broadcast of at most {MOST_ARCS}; split the network into districts")
-    table = spark.sparkContext.broadcast(_pairs(arcs.select("src", "dst").orderBy("src", "dst").toPandas()))
+def by_hops(count: dict[int, float]):
+    """Growth in breadth: what was found first goes first."""
+    return lambda node, found: found
+
+
+def by_count(count: dict[int, float]):
+    """Greedy growth: the node with most incidents first, the smaller id among equals."""
+    return lambda node, found: (-count.get(node, 0.0), node)
+
+
+#: Ways of growing a region, by name.
+GROWTH = {"bfs": by_hops, "greedy": by_count}
+
+
+def grow(seed: int, budget: int, near, taken: set[int], key) -> list[int]:
+    """A region of up to ``budget`` nodes: of the free nodes next to it the one with the least key joins, until there is none. ``taken`` gets its nodes."""
+    border, found, out = {seed: 0}, {seed}, []
+    while border and len(out) < budget:
+        node = min(border, key=lambda v: key(v, border[v]))
+        del border[node]
+        out.append(node)
+        taken.add(node)
+        for other in near(node):
+            if other not in found and other not in taken:
+                found.add(other)
+                border[other] = len(found)
+    return out
+
+
+def grown(counts: DataFrame, arcs: DataFrame, by: list[str], regions: int | str, budget: int | str, growth: str = "greedy") -> DataFrame:
+    """Regions grown from the nodes with most incidents, one after the other: by..., rank, node_id, c; ranked by incidents. ``regions`` and ``budget`` (nodes of a
+    region) may be columns of the groups.
+
+    The network is a broadcast of checked size; beyond MOST_ARCS it has to be split into districts, and growing is refused."""
+    network = spread(arcs)
+    if network is None:
+        raise ValueError(f"more than {MOST_ARCS} arcs; split the network into districts")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["c", "node_id"], ascending=[False, True])
+        most, size = (int(frame[x].iloc[0]) if isinstance(x, str) else x for x in (regions, budget))
         count = dict(zip(frame["node_id"].tolist(), frame["c"].tolist()))
-        taken: set[int] = set()
-        found = []
-        for seed in count:
-            if len(found) >= regions or count[seed] <= 0:
+        key, taken, found = GROWTH[growth](count), set(), []
+        for seed, c in count.items():
+            if len(found) == most or c <= 0:
                 break
             if seed not in taken:
-                found.append(grow_hottest(seed, budget, table.value, taken, count) if hottest else grow_nearest(seed, budget, table.value, taken))
+                found.append(grow(seed, size, network.value.near, taken, key))
         found.sort(key=lambda r: -sum(count.get(v, 0) for v in r))
         rows = [(k, v, int(count.get(v, 0))) for k, r in enumerate(found, 1) for v in r]
         out = pd.DataFrame(rows, columns=["rank", "node_id", "c"])
-        for c in by:
-            out[c] = frame[c].iloc[0]
-        return out[[*by, "rank", "node_id", "c"]]
+        return out.assign(**{c: frame[c].iloc[0] for c in by})[[*by, "rank", "node_id", "c"]]
 
     types = dict(counts.dtypes)
     return counts.groupBy(*by).applyInPandas(run, ", ".join([*(f"{c} {types[c]}" for c in by), "rank int, node_id long, c long"]))
 
 
-MOST_ARCS = 5_000_000
-
-
 def null_counts(counts: DataFrame, nodes: DataFrame, by: list[str], replicates: int, seed: int, permute: bool = False) -> DataFrame:
     """Counts of each replicate under the null: every incident on a node drawn by hash, or the observed counts dealt anew to the active nodes.
 
     Each draw depends on (seed, group, replicate, number) alone, so results don't depend on partitions. ``nodes`` has node_id and its dense index idx.
     """
-    from pyspark.sql.window import Window
-
     turns = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
     if permute:
         drawn = counts.withColumn("replicate", turns)
@@ -189,74 +302,3 @@ def null_counts(counts: DataFrame, nodes: DataFrame, by: list[str], replicates:
     each = counts.groupBy(*by).agg(F.sum("c").cast("int").alias("n")).withColumn("replicate", turns).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
     drawn = each.withColumn("idx", F.pmod(F.xxhash64(F.lit(seed), *by, "replicate", "k"), F.lit(size)))
     return drawn.join(nodes.select("idx", "node_id"), "idx").groupBy(*by, "replicate", "node_id").agg(F.count("*").alias("c"))
-
-
-def hdbscan_like(points: np.ndarray, min_size: int) -> np.ndarray:
-    """Clusters of a point set by mutual reachability: single linkage cut where the most stable clusters are; -1 is noise.
-
-    Condensed by ``min_size``; used on the few thousand regions of a corpus, whose distance matrix fits one task.
-    """
-    n = len(points)
-    if n < 2 * min_size:
-        return np.full(n, -1)
-    distance = np.sqrt(np.maximum(0, ((points[:, None] - points[None]) ** 2).sum(2)))
-    core = np.sort(distance, 1)[:, min(min_size, n - 1)]
-    reach = np.maximum(distance, np.maximum(core[:, None], core[None]))
-    best, origin, left = reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
-    left[0] = False
-    links = []
-    for _ in range(n - 1):
-        v = int(np.argmin(np.where(left, best, np.inf)))
-        links.append((best[v], int(origin[v]), v))
-        left[v] = False
-        closer = left & (reach[v] < best)
-        best[closer], origin[closer] = reach[v][closer], v
-    links.sort()
-    parent, members = list(range(n)), {i: [i] for i in range(n)}
-    children: dict[int, tuple[int, int, float]] = {}
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for height, a, b in links:
-        p, q, k = find(a), find(b), len(parent)
-        parent.append(k)
-        parent[p] = parent[q] = k
-        members[k] = members[p] + members[q]
-        children[k] = (p, q, max(height, 1e-12))
-    out = np.full(n, -1)
-    chosen: list[int] = []
-
-    def stability(node: int, birth: float) -> tuple[float, list[int]]:
-        """Of the cluster that begins at ``node``: its own or its descendants', whichever is more stable."""
-        own, at = 0.0, node
-        while at in children:
-            p, q, height = children[at]
-            sizes = len(members[p]), len(members[q])
-            if min(sizes) >= min_size:
-                own += (1 / height - birth) * len(members[at])
-                below = [stability(x, 1 / height) for x in (p, q)]
-                total = below[0][0] + below[1][0]
-                return (own, [node]) if own >= total else (total, below[0][1] + below[1][1])
-            gone, stay = (p, q) if sizes[0] < sizes[1] else (q, p)
-            if len(members[stay]) < min_size:
-                return own + (1 / height - birth) * len(members[at]), [node]
-            own += (1 / height - birth) * len(members[gone])
-            at = stay
-        return own, [node]
-
-    root = len(parent) - 1
-    if root in children:
-        at = root
-        while at in children and min(len(members[x]) for x in children[at][:2]) < min_size:
-            at = max(children[at][:2], key=lambda x: len(members[x]))
-        if at in children:
-            p, q, height = children[at]
-            for x in (p, q):
-                chosen += stability(x, 1 / height)[1]
-    for k, node in enumerate(chosen):
-        out[members[node]] = k
-    return out

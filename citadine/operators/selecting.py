@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citadine.operators import regions
+
 
 def select_fixed(scored: DataFrame, by: list[str], k: int, order: list[Column]) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
@@ -72,3 +74,41 @@ def knee(front: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     scaled = scaled.withColumn("curvature", F.when(few | flat, 0.0).otherwise(F.round(off, 9)))
     scaled = scaled.withColumn("__r", F.row_number().over(w.orderBy(F.desc(F.coalesce(chosen, F.lit(False)).cast("int")), F.desc("curvature"), "__i")))
     return scaled.where("__r = 1").select(*by, x, y, "curvature")
+
+
+def swept(counts: DataFrame, distances: DataFrame, arcs: DataFrame, network_nodes: int, sigmas: list[float], alphas: list[float], floors: list[float], ks: list[int], truncate: float = 3.0) -> DataFrame:
+    """One row for each sigma, alpha, f_min and k over all months (mes): captured, nodes, hotspots, coverage, nodes_per_month, density, lift.
+
+    ``distances`` reach ``truncate`` times the largest sigma; each sigma's field takes what is within its own reach. Coverage and density are rounded before anything follows from them."""
+    per = F.explode(F.array(*[F.lit(float(x)) for x in sigmas])).alias("sigma")
+    near = distances.select("*", per).where(F.col("d") <= truncate * F.col("sigma")).withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma"))))
+    own = counts.select("mes", F.col("node_id").alias("src"), "c")
+    f = own.join(near, "src").groupBy("mes", "sigma", F.col("dst").alias("node_id")).agg(F.sum(F.col("c") * F.col("w")).alias("f"))
+    f = f.join(counts, ["mes", "node_id"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    grid = regions.swept(f, arcs, ["mes", "sigma"], alphas, floors, ks)
+    total = counts.agg(F.sum("c").alias("total"), F.count_distinct("mes").alias("months"))
+    out = grid.groupBy("sigma", "alpha", "f_min", "k").agg(*[F.sum(c).cast("long").alias(c) for c in ("captured", "nodes", "hotspots")]).crossJoin(F.broadcast(total))
+    density = F.coalesce(F.try_divide("captured", "nodes"), F.lit(0.0))
+    mean = F.col("total") / F.col("months") / F.lit(network_nodes)
+    return out.select(
+        "sigma", "alpha", "f_min", "k", "captured", "nodes", "hotspots",
+        F.round(F.try_divide("captured", "total"), 5).alias("coverage"),
+        F.round(F.col("nodes") / F.col("months"), 1).alias("nodes_per_month"),
+        F.round(density, 4).alias("density"),
+        F.round(F.try_divide(density, mean), 3).alias("lift"),
+    )
+
+
+def calibrated(grid: DataFrame) -> DataFrame:
+    """The grid with pareto (on the front of coverage and density), recommended (the front's knee), its curvature, and alpha_sensitivity: the relative range of coverage over
+    alpha at the knee's sigma and floor. The grid is some hundreds of rows."""
+    one = grid.withColumn("g", F.lit(0))
+    front = pareto(one, ["g"], "coverage", "density")
+    bend = knee(front, ["g"], "coverage", "density").select(F.col("coverage").alias("kc"), F.col("density").alias("kd"), "curvature")
+    marked = grid.join(front.select("sigma", "alpha", "f_min", "k", F.lit(True).alias("pareto")), ["sigma", "alpha", "f_min", "k"], "left").withColumn("pareto", F.coalesce("pareto", F.lit(False)))
+    marked = marked.crossJoin(F.broadcast(bend)).withColumn("at", F.col("pareto") & (F.col("coverage") == F.col("kc")) & (F.col("density") == F.col("kd")))
+    marked = marked.withColumn("recommended", F.col("at") & (F.row_number().over(Window.orderBy(F.desc("at"), "sigma", "alpha", "f_min", "k")) == 1))
+    own = Window.partitionBy("sigma", "f_min", "k")
+    hi, lo = F.max("coverage").over(own), F.min("coverage").over(own)
+    spread = F.when((F.count("*").over(own) < 2) | (hi == 0), 0.0).otherwise((hi - lo) / hi)
+    return marked.withColumn("alpha_sensitivity", F.when(F.col("recommended"), F.round(spread, 6))).withColumn("curvature", F.when(F.col("recommended"), F.col("curvature"))).drop("kc", "kd", "at")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citadine import storage
 from citadine.functions import statistics
 from citadine.operators import field as fields
 from citadine.operators import network, regions, selecting
@@ -15,7 +16,7 @@ LLR_SQL = "CASE WHEN n_in > 0 AND n_total * size_in / size_total > 0 AND n_in >
 
 
 def distances(spark, d):
-    return fields.kernel(network.both_ways(edges(spark, d)), CUTOFF, MIN_LENGTH)
+    return fields.stored_kernel(network.both_ways(edges(spark, d)), CUTOFF, MIN_LENGTH)
 
 
 def density(spark, d, sigma: float = SIGMA):
@@ -257,25 +258,27 @@ def extract_hotspots(spark, d):
 
 @query("baseline_greedy")
 def baseline_greedy(spark, d):
-    return regions.grown(counts(spark, d), network.both_ways(edges(spark, d)), ["mes"], 20, 18, True)
+    return regions.grown(counts(spark, d), network.both_ways(edges(spark, d)), ["mes"], 20, 18)
 
 
 @query("baseline_bfs")
 def baseline_bfs(spark, d):
-    return regions.grown(counts(spark, d), network.both_ways(edges(spark, d)), ["mes"], 20, 18, False)
+    return regions.grown(counts(spark, d), network.both_ways(edges(spark, d)), ["mes"], 20, 18, "bfs")
 
 
-def null_maxima(spark, d, replicates: int = 9, permute: bool = False):
+def null_maxima(spark, d, replicates: int = 99, permute: bool = False):
+    """The highest log likelihood ratio of each replicate's regions. Replicates of a month are swept some dozens to a task."""
     n = nodes(spark, d).select("node_id", F.col("node_id").alias("idx"))
-    drawn = regions.null_counts(counts(spark, d), n, ["mes"], replicates, 7, permute)
+    drawn = storage.saved(regions.null_counts(counts(spark, d), n, ["mes"], replicates, 7, permute), "null")
     by = ["mes", "replicate"]
-    arcs = network.both_ways(edges(spark, d))
+    block = F.floor(F.col("replicate") / 25).alias("block")
     f = fields.density_field(drawn, distances(spark, d), SIGMA, by)
-    found = regions.hotspots(regions.segment(f, arcs, by, 0.15, 0.2), drawn, by)
+    found = regions.segment(f.select("*", block), network.both_ways(edges(spark, d)), by, 0.15, 0.2, ["mes", "block"])
+    scored = found.join(drawn, [*by, "node_id"], "left").groupBy(*by, "peak").agg(F.sum("c").alias("score"), F.count("*").alias("n_nodes"))
     total = drawn.groupBy(*by).agg(F.sum("c").alias("n_total"))
     size = nodes(spark, d).agg(F.count("*").alias("size_total"))
     llr = statistics.poisson_llr(F.col("score") * 1.0, F.col("n_nodes"), F.col("n_total") * 1.0, F.col("size_total"))
-    return found.join(total, by).crossJoin(F.broadcast(size)).groupBy(*by).agg(F.round(F.max(llr), 6).alias("value"), F.max("n_total").alias("n_total"))
+    return scored.where("score > 0").join(total, by).crossJoin(F.broadcast(size)).groupBy(*by).agg(F.round(F.max(llr), 6).alias("value"), F.max("n_total").alias("n_total"))
 
 
 @query("montecarlo_null")
@@ -288,17 +291,23 @@ def montecarlo_null_permutation(spark, d):
     return null_maxima(spark, d, permute=True)
 
 
+SIGMAS, ALPHAS, FLOORS, KS = [60.0, 80.0, 100.0, 110.0, 115.0, 120.0], [0.05, 0.1, 0.2, 0.3, 0.5], [0.02, 0.05, 0.1, 0.15, 0.2, 0.3], [5, 10, 15, 20, 30, 50]
+
+
+def swept(spark, d, sigmas=SIGMAS, alphas=ALPHAS, floors=FLOORS, ks=KS):
+    """The grid of all parameters on all months: one row each for sigma, alpha, f_min and k. The kernel, of the widest reach, serves every sigma."""
+    own, near = counts(spark, d), distances(spark, d)
+    return selecting.swept(own, near, network.both_ways(edges(spark, d)), nodes(spark, d).count(), sigmas, alphas, floors, ks)
+
+
 @query("parameter_sweep")
 def parameter_sweep(spark, d):
-    """Coverage and density of the top 20 regions of every month for a grid of parameters; each (month, sigma, alpha, floor) is one group's work in one plan."""
-    own, arcs, near = counts(spark, d), network.both_ways(edges(spark, d)), distances(spark, d)
-    grid = F.explode(F.array(*[F.struct(F.lit(s).alias("sigma"), F.lit(a).alias("alpha"), F.lit(f).alias("f_min")) for s in (90.0, 120.0) for a in (0.1, 0.3) for f in (0.2,)]))
-    by = ["mes", "sigma", "alpha", "f_min"]
-    each = own.withColumn("g", grid).select("mes", "node_id", "c", "g.*")
-    near = near.withColumn("sigma", F.explode(F.array(F.lit(90.0), F.lit(120.0)))).withColumn("w", F.exp(-F.col("d") * F.col("d") / (2 * F.col("sigma") * F.col("sigma"))))
-    f = own.join(near, own.node_id == near.src).groupBy("mes", "sigma", F.col("dst").alias("node_id")).agg(F.sum(F.col("c") * F.col("w")).alias("f"))
-    f = f.withColumn("alpha", F.explode(F.array(F.lit(0.1), F.lit(0.3)))).withColumn("f_min", F.lit(0.2))
-    top = regions.hotspots(regions.segment(f, arcs, by, "alpha", 0.2), each, by).where("rank <= 20")
-    total = own.agg(F.sum("c").alias("total"))
-    out = top.groupBy("sigma", "alpha", "f_min").agg(F.sum("score").alias("captured"), F.sum("n_nodes").alias("nodes")).crossJoin(F.broadcast(total))
-    return out.select("sigma", "alpha", "f_min", "captured", "nodes", F.round(F.col("captured") / F.col("total"), 5).alias("coverage"), F.round(F.col("captured") / F.col("nodes"), 4).alias("density"))
+    """Coverage, density and lift of the first 20 regions of every month at 180 points of sigma, alpha and floor, and of other numbers of regions at the middle one."""
+    middle = F.expr(f"sigma = {SIGMAS[len(SIGMAS) // 2]} and alpha = {ALPHAS[len(ALPHAS) // 2]} and f_min = {FLOORS[len(FLOORS) // 2]}")
+    return swept(spark, d).where((F.col("k") == 20) | middle)
+
+
+@query("calibrate")
+def calibrate(spark, d):
+    """The Pareto front of the sweep, its knee and how much alpha matters there."""
+    return selecting.calibrated(swept(spark, d, ks=[20]))

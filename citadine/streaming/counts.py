@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citadine import storage
+
 
 def day_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     """Events with a watermark, without repeats, counted in windows of a day."""
@@ -18,10 +20,7 @@ def run_to_end(spark: SparkSession, path: str) -> DataFrame:
     """All files of a folder or a file as one stream, until it is read; the result is the final state of the counts.
 
     The sink is a memory table of one row per day and kind; a service would write each update with foreachBatch instead."""
-    from citadine.operators.field import cut
-
-    cut(spark.range(1))  # sets the checkpoint folder where the session has none
-    base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    base = storage.folder(spark)
     schema = spark.read.parquet(path).schema
     glob = path if not path.endswith(".parquet") else path.rsplit("/", 1)[0]
     name = path.rsplit("/", 1)[1]

@@ -6,9 +6,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from citadine.functions import parsing
-from citadine.operators import regions, tracking
+from citadine.operators import clustering, regions, tracking
 from citadine.plans import catalog
 from citadine.sources.pois import Taxonomy
 
@@ -32,42 +33,98 @@ def connected(nodes, neighbours):
     return seen == nodes
 
 
+def network(grid):
+    return regions.Network.of(np.array([a for a in grid for _ in grid[a]]), np.array([b for a in grid for b in grid[a]]))
+
+
+def regions_of(height, grid, tau, floor=0.0):
+    """The region (its peak) of every node, and each peak's persistence."""
+    top = max(height.values())
+    ids = np.array(sorted(v for v in height if height[v] >= floor * top))
+    found = regions.partitioned(ids, np.array([height[v] for v in ids]), *network(grid).within(ids), [tau])[0]
+    return dict(zip(found["node_id"], found["peak"])), dict(zip(found["peak"], found["persistence"]))
+
+
+def rise(peak, height, grid):
+    """What a peak rises above the highest pass to a higher one, by trying all levels; its height if there is no higher one."""
+    higher = lambda v: (height[v], -v) > (height[peak], -peak)
+    for level in sorted(set(height.values()), reverse=True):
+        seen, stack = set(), [peak]
+        while stack:
+            v = stack.pop()
+            if v not in seen and height[v] >= level:
+                seen.add(v)
+                stack += [u for u in grid[v] if u in height]
+        if any(higher(v) for v in seen):
+            return height[peak] - level
+    return math.inf
+
+
 @pytest.mark.parametrize("seed", range(8))
-def test_swept_regions_are_connected_and_fewer_with_a_higher_threshold(seed):
+def test_regions_are_connected_and_their_peaks_are_those_that_rise_enough(seed):
     rng, grid = random.Random(seed), lattice()
-    height = {v: round(rng.random(), 3) for v in grid}
+    height = {v: round(rng.random(), 1 if seed % 2 else 3) for v in grid}
     sizes = []
-    for tau in (0.0, 0.2, 0.6, 2.0):
-        home, _ = regions.sweep(height, grid, tau)
+    for tau in (0.001, 0.2, 0.6, 2.0):
+        home, _ = regions_of(height, grid, tau)
         assert set(home) == set(grid)
         groups = {p: [v for v in home if home[v] == p] for p in set(home.values())}
-        assert all(connected(g, grid) for g in groups.values())
+        assert all(connected(g, grid) and max(g, key=lambda v: (height[v], -v)) == p for p, g in groups.items())
+        assert set(groups) == {v for v in grid if rise(v, height, grid) >= tau}
         sizes.append(len(groups))
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] == 1
 
 
+def test_a_higher_floor_is_the_first_places_of_the_same_forest():
+    rng, grid = random.Random(9), lattice()
+    height = {v: round(rng.random(), 3) for v in grid}
+    ids = np.array(sorted(height))
+    forest = regions.Forest(ids, np.array([height[v] for v in ids]), *network(grid).within(ids))
+    for floor in (0.2, 0.5, 0.8):
+        size = sum(h >= floor * max(height.values()) for h in height.values())
+        for tau in (0.0, 0.1, 0.3):
+            home, persistence = forest.regions(tau, size)
+            want, rises = regions_of(height, grid, tau, floor)
+            assert {int(v): int(forest.ids[p]) for v, p in zip(forest.ids, home)} == want
+            assert all(persistence[p] == pytest.approx(rises[forest.ids[p]]) for p in set(home.tolist()))
+
+
 def test_peaked_field_keeps_its_peaks():
     grid = lattice()
     height = {v: 0.05 for v in grid}
     height[8], height[40], height[10] = 1.0, 0.8, 0.3
-    home, persistence = regions.sweep(height, grid, 0.5)
+    home, persistence = regions_of(height, grid, 0.5)
     assert set(home.values()) == {8, 40} and persistence[40] == pytest.approx(0.75)
 
 
 def test_growth_reaches_its_budget_without_overlap():
     grid, count = lattice(), {8: 20, 9: 12, 40: 15, 39: 9}
     taken: set[int] = set()
-    a = regions.grow_hottest(8, 3, grid, taken, count)
-    b = regions.grow_nearest(40, 4, grid, taken)
-    assert len(a) == 3 and a[:2] == [8, 9] and len(b) == 4 and not set(a) & set(b)
+    near = network(grid).near
+    a = regions.grow(8, 3, near, taken, regions.by_count(count))
+    b = regions.grow(40, 4, near, taken, regions.by_hops(count))
+    assert len(a) == 3 and a[:2] == [8, 9] and b == [40, 33, 39, 41] and not set(a) & set(b) and taken == {*a, *b}
     assert connected(a, grid) and connected(b, grid)
 
 
+def test_regions_by_rows_equal_those_by_broadcast(spark, monkeypatch):
+    grid, rng = lattice(), random.Random(4)
+    arcs = spark.createDataFrame([(a, b) for a in grid for b in grid[a]], "src long, dst long")
+    field = spark.createDataFrame([(m, v, rng.random()) for m in ("a", "b") for v in grid], "mes string, node_id long, f double")
+    wide = {tuple(r) for r in regions.segment(field, arcs, ["mes"], 0.1, 0.3).collect()}
+    monkeypatch.setattr(regions, "MOST_ARCS", 10)
+    assert {tuple(r) for r in regions.segment(field, arcs, ["mes"], 0.1, 0.3).collect()} == wide
+    with pytest.raises(ValueError):
+        regions.grown(field.withColumn("c", F.lit(1)), arcs, ["mes"], 2, 3)
+
+
 def test_clusters_of_two_clouds_and_noise():
     rng = np.random.default_rng(1)
     x = np.concatenate([rng.normal(0, 0.1, (30, 2)), rng.normal(5, 0.1, (30, 2)), [[50.0, 50.0]]])
-    found = regions.hdbscan_like(x, 5)
+    found = clustering.clusters(x, 5)
     assert len(set(found[:30])) == 1 and len(set(found[30:60])) == 1 and found[0] != found[30] and found[60] == -1
+    line = np.arange(3000.0)[:, None] ** 1.5  # a chain that would be thousands of calls deep
+    assert len(clustering.clusters(line, 5)) == 3000
 
 
 def test_exact_p_of_separate_samples():
