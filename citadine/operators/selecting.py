@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from citadine import storage
 from citadine.operators import regions
 
 
@@ -31,14 +32,22 @@ def select_montecarlo(scored: DataFrame, null_max: DataFrame, by: list[str], alp
     return joined.withColumn("p_value", p).withColumn("kept", p < alpha).drop("null")
 
 
+def clamped(judged: DataFrame, by: list[str], order: list[Column], min_k: int = 0, max_k: int | None = None) -> DataFrame:
+    """The rows with ``kept``, at most the first ``max_k``; where they are fewer than ``min_k``, the first ``min_k`` of all instead."""
+    w = Window.partitionBy(*by)
+    out = judged.withColumns({"__n": F.count_if("kept").over(w), "rank": F.row_number().over(w.orderBy(*order)), "__k": F.count_if("kept").over(w.orderBy(*order))})
+    some = F.col("kept") & (F.col("__k") <= max_k) if max_k else F.col("kept")
+    return out.where(F.when(F.col("__n") < min_k, F.col("rank") <= min_k).otherwise(some)).drop("__n", "__k", "kept")
+
+
 def resolve(method: str, scored: DataFrame, by: list[str], order: list[Column], **options) -> DataFrame:
-    """The selection by its name: fixed (k), percentile (q, min_k, max_k) or montecarlo (null_max, alpha)."""
+    """The selection by its name: fixed (k), percentile (q, min_k, max_k) or montecarlo (null_max, alpha, min_k, max_k)."""
     if method == "fixed":
         return select_fixed(scored, by, options["k"], order)
     if method == "percentile":
         return select_percentile(scored, by, options["q"], order, options.get("min_k", 1), options.get("max_k"))
     if method == "montecarlo":
-        return select_montecarlo(scored, options["null_max"], by, options["alpha"]).where("kept")
+        return clamped(select_montecarlo(scored, options["null_max"], by, options["alpha"]), by, order, options.get("min_k", 0), options.get("max_k"))
     raise ValueError(f"unknown selection {method!r}; there are fixed, percentile and montecarlo")
 
 
@@ -100,8 +109,9 @@ def swept(counts: DataFrame, distances: DataFrame, arcs: DataFrame, network_node
 
 
 def calibrated(grid: DataFrame) -> DataFrame:
-    """The grid with pareto (on the front of coverage and density), recommended (the front's knee), its curvature, and alpha_sensitivity: the relative range of coverage over
+    """The grid, saved, with pareto (on the front of coverage and density), recommended (the front's knee), its curvature, and alpha_sensitivity: the relative range of coverage over
     alpha at the knee's sigma and floor. The grid is some hundreds of rows."""
+    grid = storage.saved(grid, "sweep")
     one = grid.withColumn("g", F.lit(0))
     front = pareto(one, ["g"], "coverage", "density")
     bend = knee(front, ["g"], "coverage", "density").select(F.col("coverage").alias("kc"), F.col("density").alias("kd"), "curvature")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from citadine.plans import contrasts, exploring, features, ingest, network, payloads, regions, registry  # noqa: F401  they register their queries
+from citadine.plans import chain, contrasts, exploring, features, ingest, network, payloads, regions, registry  # noqa: F401  they register their queries
 from citadine.session import ready
 
 

@@ -78,7 +78,7 @@ def group_means(spark, d):
 @query("mannwhitney_p")
 def mannwhitney_p(spark, d):
     r = tracking.rank_sums(two_groups(spark, d), ["tipo"], "grp", "v")
-    return r.select("tipo", "u", F.round(tracking.normal_p(F.col("u"), F.col("n_a"), F.col("n_b"), F.col("ties")), 6).alias("p"))
+    return r.select("tipo", "u", F.round(tracking.u_p("u", "n_a", "n_b", "ties"), 6).alias("p"))
 
 
 @query("bh_adjust", "WITH p AS (SELECT p_brand AS brand, p_partkey AS k, (p_partkey * 7919 % 1000) / 1000.0::DOUBLE AS p FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY p, k) AS r, count(*) OVER (PARTITION BY brand) AS n FROM p) SELECT brand, k, round(least(1, min(p * n / r) OVER (PARTITION BY brand ORDER BY r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS p_adj FROM r")

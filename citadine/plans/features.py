@@ -185,9 +185,18 @@ def zone_labels(spark, d, rounds):
     return describing.wl_labels(nodes(spark, d).select("zone", "node_id"), zone_arcs(spark, d), "zone", rounds)
 
 
+def zone_places(spark, d):
+    return nodes(spark, d).select("zone", "node_id", "x", "y")
+
+
+def classed_arcs(spark, d):
+    names = F.array(*[F.lit(r) for r in ROADS])
+    return zone_arcs(spark, d).withColumn("road_class", F.element_at(names, ((F.col("src") + F.col("dst")) % 4 + 1).cast("int")))
+
+
 @query("graph2vec")
 def graph2vec(spark, d):
-    return embedding.doc_vectors(zone_labels(spark, d, 2), "zone", 16, 10)
+    return embedding.embedded("graph2vec", zone_places(spark, d), classed_arcs(spark, d), "zone")
 
 
 @query("netlsd")
@@ -197,12 +206,17 @@ def netlsd(spark, d):
 
 @query("scattering")
 def scattering(spark, d):
-    return embedding.scattering(nodes(spark, d).select("zone", "node_id"), zone_arcs(spark, d), "zone")
+    return embedding.embedded("scattering", zone_places(spark, d), classed_arcs(spark, d), "zone")
 
 
 @query("wwl")
 def wwl(spark, d):
-    return embedding.wasserstein_pairs(zone_labels(spark, d, 2), "zone")
+    return embedding.embedded("wwl", zone_places(spark, d), classed_arcs(spark, d), "zone", classes=ROADS)
+
+
+@query("wwl_distances")
+def wwl_distances(spark, d):
+    return embedding.transport_distances(embedding.node_clouds(zone_places(spark, d), classed_arcs(spark, d), "zone", ROADS), "zone")
 
 
 @query("pca_2d")

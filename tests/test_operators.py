@@ -1,5 +1,6 @@
 """Properties of the operators that SQL cannot express."""
 
+import itertools
 import math
 import random
 from collections import Counter
@@ -127,8 +128,24 @@ def test_clusters_of_two_clouds_and_noise():
     assert len(clustering.clusters(line, 5)) == 3000
 
 
-def test_exact_p_of_separate_samples():
-    assert tracking.exact_u_p([1, 2, 3], [4, 5, 6]) == pytest.approx(0.1)
+def splits(a, b):
+    """Two-sided p of U by trying all ways to part the values."""
+    both, n, u = [*a, *b], len(a), lambda x, y: sum(p > q for p in x for q in y)
+    most = max(u(a, b), u(b, a))
+    tries = [u([both[i] for i in own], [both[i] for i in range(len(both)) if i not in own]) for own in itertools.combinations(range(len(both)), n)]
+    return min(1.0, 2 * sum(t >= most for t in tries) / len(tries))
+
+
+def test_p_of_small_samples_is_that_of_all_splits(spark):
+    rng, rows = random.Random(6), []
+    samples = {f"t{k}": ([rng.random() + k / 9 for _ in range(rng.randint(1, 5))], [rng.random() for _ in range(rng.randint(1, 6))]) for k in range(12)}
+    for t, (a, b) in samples.items():
+        rows += [(t, "a", x) for x in a] + [(t, "b", x) for x in b]
+    u = tracking.rank_sums(spark.createDataFrame(rows, "t string, g string, v double"), ["t"], "g", "v")
+    got = {r["t"]: r["p"] for r in u.select("t", tracking.u_p("u", "n_a", "n_b", "ties").alias("p")).collect()}
+    assert all(got[t] == pytest.approx(splits(*ab)) for t, ab in samples.items())
+    assert tracking.exact_u_p(0, 3, 3) == pytest.approx(0.1)
+    assert tracking.normal_u_p(50 * 50 / 2, 50, 50, 0) == 1.0 and tracking.normal_u_p(1600, 50, 50, 0) == pytest.approx(0.0161, abs=2e-4)
 
 
 def test_headers():
