@@ -18,6 +18,7 @@ results. Texts of any length are scanned whole. Ties between templates go to the
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from importlib import resources
@@ -213,11 +214,12 @@ class Index:
                     matched, first, end = aligned(self.words[t].tolist(), text.tolist() if len(text) < 4 * size else _Slice(text), shift, 2 * band)
                 if matched >= coverage * size:
                     out.append((t, matched, first, end))
-        best: list[tuple[int, int, int, int]] = []
+        best: list[tuple[int, int, int, int]] = []  # in order of their places, and none overlaps another
         for x in sorted(out, key=lambda x: (-x[1], x[3] - x[2], x[0], x[2])):
-            if all(x[3] < y[2] or y[3] < x[2] for y in best):
-                best.append(x)
-        return sorted(best, key=lambda x: x[2])
+            at = bisect_right(best, x[2], key=lambda y: y[2])
+            if (at == 0 or best[at - 1][3] < x[2]) and (at == len(best) or x[3] < best[at][2]):
+                best.insert(at, x)
+        return best
 
 
 class _Slice:

@@ -10,7 +10,7 @@ A large source has many shards, none of which holds much more than ``shard_token
 shard only.
 
 Null and empty texts have no words and take none. Null is a source of its own, last. Rows with null or repeated doc_id
-are taken each by itself. Extra columns are ignored by op5. Empty tables give empty results. The same rows and seed give the same mix.
+are taken each by itself, in an order by doc_id and text. Extra columns are ignored by op5. Empty tables give empty results. The same rows and seed give the same mix.
 """
 
 from __future__ import annotations
@@ -54,9 +54,9 @@ def sainte_lague(votes: np.ndarray, seats: int, caps: np.ndarray) -> np.ndarray:
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """__s is the source as a key that is never null and sorts nulls last."""
+    """__s is the source as a key that is never null and sorts nulls last; h tells texts apart."""
     size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", size.alias("size"), F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("__s"))
+    return docs.select("doc_id", size.alias("size"), F.xxhash64("text").alias("h"), F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source")).alias("__s"))
 
 
 def targets(sizes: DataFrame, share: float = 1.5, repeats: int = 2) -> DataFrame:
@@ -107,14 +107,14 @@ def plan(docs: DataFrame, share: float = 1.5, repeats: int = 2, shard_tokens: in
         }
     )
     sources = scratch.table(sources.groupBy(F.lit(1).alias("__g")).applyInPandas(_of_sources, "__s string, source_size long, target double, shards long, words long"), "mix-sources")
-    placed = sizes.join(sources, "__s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
+    placed = sizes.join(sources, "__s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "h"), F.col("shards")))
     shards = placed.groupBy("__s", "shard", "words").agg(F.sum("size").alias("tokens"))
     quotas = shards.groupBy("__s").applyInPandas(_quotas(repeats), "__s string, shard long, n long, quota long")
-    order = Window.partitionBy("__s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id", "size")
+    order = Window.partitionBy("__s", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id", "h"), "doc_id", "size", "h")
     stream = placed.withColumn("end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["__s", "shard"])
     words = lambda x: F.when(F.col("size") > 0, x).otherwise(0).cast("long")
     rest = F.col("quota") % F.col("n") - (F.col("end") - F.col("size"))
-    return stream.select("doc_id", "size", "__s", "source_size", "target", words(F.floor(F.col("quota") / F.col("n"))).alias("full"), words(F.greatest(F.lit(0), F.least("size", rest))).alias("part"))
+    return stream.select("doc_id", "size", "h", "__s", "source_size", "target", words(F.floor(F.col("quota") / F.col("n"))).alias("full"), words(F.greatest(F.lit(0), F.least("size", rest))).alias("part"))
 
 
 def op5(docs: DataFrame) -> DataFrame:
@@ -126,20 +126,18 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The mix: a row for each time that a document is taken. Its text is as it was, but for the document at the edge of a shard's quota, whose
     last row ends with the last word taken.
 
-    Rows of a repeated doc_id are joined with a place of a row of the same size and source; n_chars follows the text.
+    A row is joined with its place by doc_id, source and a hash of its text; rows that repeat all three are taken as often as the first of them. n_chars follows the text.
     """
     columns = docs.columns
-    rows = plan(docs.select("doc_id", "text", "source")).groupBy("doc_id", "size", "__s").agg(F.first("full").alias("full"), F.first("part").alias("part"))
+    rows = plan(docs.select("doc_id", "text", "source")).groupBy("doc_id", "h", "__s").agg(F.first("full").alias("full"), F.first("part").alias("part"), F.first("size").alias("size"))
+    rows = rows.where("size > 0 and full + part > 0")
     source = F.when(F.col("source").isNull(), "1").otherwise(F.concat(F.lit("0"), "source"))
-    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("doc_id").alias("__doc"), source.alias("__source"), size.alias("__n"))
-    own = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__n") == F.col("size")) & (F.col("__source") == F.col("__s"))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col("doc_id").alias("__doc"), source.alias("__source"), F.xxhash64("text").alias("__h"))
+    own = F.col("__doc").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h")) & (F.col("__source") == F.col("__s"))
     turns = F.col("full") + F.when(F.col("part") > 0, 1).otherwise(0)
-    turned = named.join(rows, own).where((F.col("size") > 0) & (turns > 0)).withColumn("__turn", F.explode(F.sequence(F.lit(1).cast("long"), turns)))
+    turned = named.join(rows, own).select("__row", "size", "full", "part", F.explode(F.sequence(F.lit(1).cast("long"), turns)).alias("__turn"))
     cut = (F.col("__turn") > F.col("full")) & (F.col("part") < F.col("size"))
     text = F.col("__row").getField("text")
     head = F.array_join(F.slice(F.split(text, WORD_END, F.col("part").cast("int") + 1), F.lit(1), F.col("part").cast("int")), "")
-    row = F.col("__row").withField("text", F.when(cut, head).otherwise(text))
-    if "n_chars" in columns:
-        row = row.withField("n_chars", F.length(F.when(cut, head).otherwise(text)).cast("long"))
-    return turned.select(row.alias("__row")).select("__row.*")
+    fields = {"text": F.when(cut, head).otherwise(text)} | ({"n_chars": F.length(F.when(cut, head).otherwise(text)).cast("long")} if "n_chars" in columns else {})
+    return turned.select([fields.get(c, F.col("__row").getField(c)).alias(c) for c in columns])

@@ -6,14 +6,13 @@
    first p = n - ceil(0.8 n) + 1 + n // 20. Linked documents of n and m shingles have 4 (n + m) / 9 in common, and outside their prefixes no
    more than the larger of n - p(n) and m - p(m); so the rest must be among their prefixes. Pairs of groups that share fewer prefix shingles, or
    differ too much in size, are left out; so are groups that share too few with any other. The first shared shingle has all others that must be shared
-   behind it, so pairs are looked for at early places only, and the prefixes of what is found are compared; for texts of over a thousand
-   shingles, whose prefixes are long, shared shingles are counted at all places instead.
+   behind it, so pairs are looked for at early places only, and the prefixes of what is found are compared.
 3. Pairs of groups are expanded to pairs of their classes, and the whole sets are intersected.
 
-Large groups of near copies would have pairs without number, and most would tell nothing new. So pairs come in rounds. First each prefix shingle offers
-pairs of one holder with all others: of the one that shares most of its prefix, the likely centre of a group of copies, and then of a random
-one. Their links are contracted to components; pairs within a component need no verification, since components are all that is asked for. At
-last all pairs left between different components are verified, whatever their number; so no link between components is lost.
+Large groups of near copies would have pairs without number, and most would tell nothing new. So pairs come in rounds. First each group offers
+pairs of one class with its others, and each prefix shingle pairs of one holder with all others: of the one that shares most of its prefix, the likely centre of a group of copies, and then of a random
+one; of a group's classes one speaks for each component. Their links are contracted to components; pairs within a component need no verification, since components are all that is asked for. At
+last all pairs left between different components are verified, in groups and between them, whatever their number; so no link between components is lost.
 
 Null, empty and blank texts have no shingles and are linked with nothing. A text of one to four words is one shingle. Each row is a
 document; rows may share a doc_id; a null doc_id is never the smallest. Extra columns are ignored by op6 and kept by representatives.
@@ -38,7 +37,6 @@ BITS = 20
 SKETCH_PARTS = 32
 EXTRA = 20
 SETS = "kind int, doc_id long, d long, t int, n int, c1 long, c2 long, sketch binary"
-LONG = 1000
 BUCKET_SHINGLES = 4_000_000  # of some 32 MB of text
 ENTRIES = "kind int, token long, n int, g1 long, g2 int, c1 long, c2 long"
 SALT = np.uint64(0xA24BAED4963EE407)
@@ -253,49 +251,65 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
         both = pairs.join(a, "a").join(b, "b").withColumn("common", F.size(F.array_intersect("x", "y")))
         return both.where("5L * common >= 4L * (size(x) + size(y) - common)").select("a", "b")
 
-    def expanded(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes of pairs of groups p and q; p = q stands for the pairs within a group."""
-        left, right = members.select(F.col("gid").alias("p"), F.col("cid").alias("a0")), members.select(F.col("gid").alias("q"), F.col("cid").alias("b0"))
-        out = pairs.join(left, "p").join(right, "q").where("a0 <> b0 and (p <> q or a0 < b0)")
-        return out.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
+    def parts(found: DataFrame) -> DataFrame:
+        """Classes with their component, or themselves where they have no link so far."""
+        return members.join(found, members.cid == found.id, "left").select("cid", "gid", "n", "members", F.coalesce("component", "cid").alias("part"))
 
-    inner = members.where("members > 1").select(F.col("gid").alias("p"), F.col("gid").alias("q")).distinct()
-    links = scratch.table(verified(expanded(inner)), "links")
+    def within(now: DataFrame, turn: int, last: bool) -> DataFrame:
+        """Pairs of classes of one group: all of different components with one of the group's, chosen by hash; at last all that are left between different components."""
+        large = now.where("members > 1").select("gid", "cid", "part")
+        if last:
+            apart = large.groupBy("gid").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("gid")
+            left = large.join(apart, "gid", "left_semi")
+            both = left.join(left.select("gid", F.col("cid").alias("b"), F.col("part").alias("part2")), "gid").where("cid < b and part <> part2")
+            return both.select(F.col("cid").alias("a"), "b")
+        hub = large.groupBy("gid").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "cid"), "cid", "part")).alias("hub"))
+        both = large.join(hub, "gid").where("part <> hub.part")
+        return both.select(F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b"))
+
+    def between(near: DataFrame, now: DataFrame, last: bool) -> DataFrame:
+        """Pairs of classes of pairs of groups: one class for each component of a group, and at last all of different components."""
+        own = now.select("gid", "cid", "part") if last else now.groupBy("gid", "part").agg(F.min("cid").alias("cid"))
+        left, right = own.select(F.col("gid").alias("p"), F.col("cid").alias("a0"), "part"), own.select(F.col("gid").alias("q"), F.col("cid").alias("b0"), F.col("part").alias("part2"))
+        return near.join(left, "p").join(right, "q").where("part <> part2").select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b"))
+
+    now = members.select("cid", "gid", "n", "members", F.col("cid").alias("part"))
+    links = scratch.table(verified(within(now, -1, False)), "links")
     found = components(links)
     for turn in range(rounds + 1):
+        last = turn == rounds
+        now = scratch.table(parts(found), "now")
         # a group has the component of its classes if it is the same for all, else none that another group could have
-        own = members.join(found, members.cid == found.id, "left").groupBy("gid").agg(F.min(F.coalesce("component", "cid")).alias("lo"), F.max(F.coalesce("component", "cid")).alias("hi"))
-        own = own.select(F.col("gid").alias("g"), F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("gid")).alias("part"))
+        own = now.groupBy(F.col("gid").alias("g")).agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+        own = own.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("g")).alias("part"))
         parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "r", "i", "part")
         counted = parted.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
         parted = scratch.table(parted.join(counted.where("all * all > within").select("token"), "token", "left_semi"), "parted")
-        last = turn == rounds
         if last:
             # the first shingle that two prefixes share has all others that they must share behind it, so only that far from the end are pairs looked for
-            other = parted.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("i").alias("j"), F.col("part").alias("part2"))
-            early = f"i + {needed('n', 'm')} <= {prefix_sql('n')} and j + {needed('n', 'm')} <= {prefix_sql('m')}"
-            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2")) & F.expr(f"least(n, m) > {LONG} or ({early})")
+            early = parted.where(f"i + {fewest} <= {prefix_sql('n')} + 4")
+            other = early.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("i").alias("j"), F.col("part").alias("part2"))
+            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2")) & F.expr(f"i + {needed('n', 'm')} <= {prefix_sql('n')} and j + {needed('n', 'm')} <= {prefix_sql('m')}")
         else:
+            early = parted
             order = [F.lit(0.0) if turn else -F.col("r") / F.expr(prefix_sql("n")), F.xxhash64(F.lit(turn), "gid")]
             first = parted.groupBy("token").agg(F.min(F.struct(*order, "gid", "n", "r", "part")).alias("first"))
             other = first.select("token", F.col("first.gid").alias("q"), F.col("first.n").alias("m"), F.col("first.r").alias("s"), F.col("first.part").alias("part2"))
             apart = F.col("part") != F.col("part2")
-        pairs = parted.withColumnRenamed("gid", "p").join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and least(r, s) >= {needed('n', 'm')}"))
-        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"), F.expr("least(n, m)").alias("size"))
-        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least"), F.min("size").alias("size"))
-        if last:  # of long texts all shared shingles were counted; prefixes of others are short enough to be compared
-            pairs = scratch.table(pairs.where(f"size <= {LONG} or common >= least"), "pairs")
-            short = parted.where(f"n <= {LONG} * 5 div 4").groupBy("gid").agg(F.collect_list("token").alias("tokens"))
-            both = pairs.where(f"size <= {LONG}").join(short.select(F.col("gid").alias("p"), F.col("tokens").alias("x")), "p").join(short.select(F.col("gid").alias("q"), F.col("tokens").alias("y")), "q")
-            near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("least")).select("p", "q").unionByName(pairs.where(f"size > {LONG}").select("p", "q"))
+        pairs = early.withColumnRenamed("gid", "p").join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and least(r, s) >= {needed('n', 'm')}"))
+        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"))
+        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least"))
+        if last:  # what was found at early places only is counted over the whole prefixes
+            pairs = scratch.table(pairs, "pairs")
+            tokens = lambda x, y: parted.groupBy(F.col("gid").alias(x)).agg(F.collect_list("token").alias(y))
+            both = pairs.join(tokens("p", "x"), "p").join(tokens("q", "y"), "q")
+            near = both.where(F.size(F.array_intersect("x", "y")) >= F.col("least")).select("p", "q")
         else:
             near = pairs.where("common >= least").select("p", "q")
-        more = scratch.table(verified(expanded(near)), "links")
+        more = scratch.table(verified(within(now, turn, last).unionByName(between(near, now, last)).distinct()), "links")
         links = links.unionByName(more)
-        scratch.drop(parted, found)
+        scratch.drop(parted, found, now)
         found = components(links)
-        if last:
-            break
     named = rows.join(classes.select("c1", "c2", "cid"), ["c1", "c2"], "left")
     return named.join(found, F.col("cid") == F.col("id"), "left").select("doc_id", "d", "t", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "cid")).alias("part"))
 
@@ -308,10 +322,11 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One row of each component, that of the smallest doc_id; documents without shingles all stay."""
-    columns = docs.columns
-    docs = docs.select([F.col(f"`{c}`") for c in columns])
     rows = scratch.table(linked(docs.select("doc_id", "text")), "linked")
-    kept = rows.where("part is not null").groupBy("part").agg(F.min(F.struct("d", "t")).alias("k")).select("k.d", "k.t")
-    kept = kept.unionByName(rows.where("part is null").select("d", "t")).select(F.col("d").alias("__d"), F.col("t").alias("__t"))
-    own = (F.coalesce("doc_id", F.lit(-(2**63))) == F.col("__d")) & (F.hash("text") == F.col("__t"))
-    return docs.join(kept, own, "left_semi").dropDuplicates(["doc_id", "text"]).select([F.col(f"`{c}`") for c in columns])
+    kept = rows.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "d", "t")).alias("k")).select("k.d", "k.t")
+    kept = kept.unionByName(rows.where("part is null").select("d", "t").distinct())
+    # repeated rows of a component's document are one; those without words are told apart by their places
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    place = F.when(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")), F.lit(None)).otherwise(F.monotonically_increasing_id())
+    own = docs.select(row, F.col("text").alias("x"), F.coalesce("doc_id", F.lit(-(2**63))).alias("d"), F.hash("text").alias("t"), place.alias("place"))
+    return own.join(kept, ["d", "t"], "left_semi").dropDuplicates(["d", "t", "x", "place"]).select("row.*")

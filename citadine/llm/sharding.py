@@ -9,7 +9,7 @@ sums come to the driver. A group larger than a shard's capacity is split by doc_
 Slots are numbered by slices: rows of a unit are dealt into slices of bounded size, slices of a shard follow one another, and
 a window numbers the rows of one slice.
 
-Null texts have size 1, crc32 0 and no tokens. Rows with null or repeated doc_id get slots each. Extra columns are
+Null texts have size 1, crc32 0 and no tokens. Rows with null or repeated doc_id get slots each; those without one are dealt by their place in the written table. Extra columns are
 ignored. Empty tables give empty results.
 """
 
@@ -53,7 +53,8 @@ def sharded(docs: DataFrame, shards: int = 8, buckets: int = 4096, slice_rows: i
             F.crc32(F.col("text").cast("binary")).alias("crc"),
             F.regexp_count(text, F.lit(WORD)).cast("long").alias("tokens"),
             F.xxhash64("text").alias("h"),
-        ).select("doc_id", "size", F.coalesce("crc", F.lit(0)).cast("long").alias("text_crc32"), "tokens", "h"),
+            F.coalesce("doc_id", F.monotonically_increasing_id()).alias("salt"),
+        ).select("doc_id", "size", F.coalesce("crc", F.lit(0)).cast("long").alias("text_crc32"), "tokens", "h", "salt"),
         "shard-rows",
     )
     sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
@@ -63,8 +64,8 @@ def sharded(docs: DataFrame, shards: int = 8, buckets: int = 4096, slice_rows: i
     split = F.when(F.col("size") > capacity, F.ceil(F.col("size") / max(capacity, 1) * 8)).otherwise(1).cast("long")
     groups = scratch.table(rows.groupBy("h").agg(*sums).where(large).select(F.col("h").alias("__h"), split.alias("parts")), "shard-groups")  # at most three times buckets rows
     placed = rows.join(F.broadcast(groups), F.col("h") == F.col("__h"), "left")
-    part = F.when(F.col("__h").isNull(), F.pmod("h", F.lit(buckets))).otherwise(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.col("parts")))
-    placed = placed.select("doc_id", "size", "text_crc32", "tokens", "__h", part.alias("part"))
+    part = F.when(F.col("__h").isNull(), F.pmod("h", F.lit(buckets))).otherwise(F.pmod(F.xxhash64(F.lit(3), "salt"), F.col("parts")))
+    placed = placed.select("doc_id", "size", "text_crc32", "tokens", "salt", "__h", part.alias("part"))
     units = placed.groupBy("__h", "part").agg(*sums).collect()
     units.sort(key=lambda u: (u["__h"] is not None, u["__h"] or 0, u["part"]))
     shard = place(np.array([[u[d] for d in DIMENSIONS] for u in units], float).reshape(-1, 3), shards)
@@ -72,11 +73,11 @@ def sharded(docs: DataFrame, shards: int = 8, buckets: int = 4096, slice_rows: i
     table = [(u["__h"], u["part"], k, int(s), -(-u["rows"] // per_slice)) for k, (u, s) in enumerate(zip(units, shard, strict=True))]
     known = spark.createDataFrame(table, "h2 long, part2 long, unit long, shard int, slices long")
     out = placed.join(F.broadcast(known), F.col("__h").eqNullSafe(F.col("h2")) & (F.col("part") == F.col("part2")))
-    out = out.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.col("slices"))).select("doc_id", "size", "text_crc32", "shard", "unit", "slice")
+    out = out.withColumn("slice", F.pmod(F.xxhash64(F.lit(5), "salt"), F.col("slices"))).select("doc_id", "size", "text_crc32", "salt", "shard", "unit", "slice")
     slices = out.groupBy("shard", "unit", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("unit", "slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n", "shard")
-    within = Window.partitionBy("unit", "slice").orderBy("doc_id", "text_crc32")
+    within = Window.partitionBy("unit", "slice").orderBy("salt", "doc_id", "text_crc32")
     out = out.withColumn("number", F.row_number().over(within) - 1).join(slices, ["unit", "slice"])
     return out.select("doc_id", "size", "text_crc32", "shard", (F.col("offset") + F.col("number")).cast("long").alias("slot"))
 

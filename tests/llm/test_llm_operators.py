@@ -205,6 +205,59 @@ def test_long_alignment_equals_the_short_one():
         assert licenses.aligned_long(a, b, shift, band)[: 3 if short[0] > 0 else 1] == short[: 3 if short[0] > 0 else 1]
 
 
+def most_in_order(template, text):
+    """Words of the template that any stretch of the text has in the same order, by the whole table; a stretch is at most one and a half times as long."""
+    best = 0
+    for at in range(len(text)):
+        row = [0] * (len(template) + 1)
+        for w in text[at : at + len(template) * 3 // 2]:
+            new = [0]
+            for j, x in enumerate(template):
+                new.append(max(row[j] + (w == x), row[j + 1], new[j]))
+            row = new
+        best = max(best, row[-1])
+    return best
+
+
+def test_alignment_against_the_whole_table(spark):
+    """Templates planted with words changed, left out and put in: each report has as many words as the whole table finds, and no template that reaches the threshold is missed."""
+    rng = random.Random(15)
+    vocabulary = [f"w{k}" for k in range(400)]
+    templates = {f"T{k}": " ".join(rng.choice(vocabulary) for _ in range(n)) for k, n in enumerate((8, 14, 25, 45, 60))}
+    texts, planted = [], []
+    for k in range(40):
+        name = rng.choice(sorted(templates))
+        own = []
+        for w in templates[name].split():
+            x = rng.random()
+            own += [] if x < 0.04 * (k % 4) / 2 else [rng.choice(vocabulary)] if x < 0.08 * (k % 4) / 2 else [w, rng.choice(vocabulary)] if x < 0.1 * (k % 4) / 2 else [w]
+        noise = lambda: [rng.choice(vocabulary) for _ in range(rng.randint(0, 40))]
+        texts.append(" ".join(noise() + own + noise()))
+        planted.append(name)
+    got = defaultdict(dict)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), templates).collect():
+        got[r["doc_id"]][r["template"]] = r["n_matched"]
+    hits = 0
+    for k, name in enumerate(planted):
+        words_of = templates[name].split()
+        best = most_in_order(words_of, texts[k].split())
+        if best >= 0.8 * len(words_of):
+            assert got[k].get(name) == best, (k, name, best, got[k])
+            hits += 1
+        assert all(n <= most_in_order(templates[t].split(), texts[k].split()) for t, n in got[k].items())
+    assert hits > 25
+
+
+def test_many_notices_in_one_text(spark):
+    import time
+
+    notice = "Released under the MIT License."
+    text = "\n".join([notice, "some words between"] * 4000)
+    began = time.time()
+    assert licenses.op4(spark.createDataFrame([(1, text)], "doc_id long, text string")).count() == 4000
+    assert time.time() - began < 60
+
+
 def test_apportionment_is_by_highest_quotients():
     rng = random.Random(3)
     for _ in range(60):
@@ -267,6 +320,18 @@ def test_mixing_keeps_documents_whole(spark):
     assert any(r["target"] < r["source_size"] for r in got.values())
 
 
+def test_mixing_of_rows_without_ids(spark):
+    """Rows without ids are dealt and joined by their texts."""
+    rng = random.Random(22)
+    rows = [(None, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30))), f"s{k % 3}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = Counter()
+    for r in mixing.mixed(docs).collect():
+        taken[r["source"]] += len(WORD.findall(r["text"]))
+    got = mixing.op5(docs).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert sorted(taken.values()) == sorted(r["n"] for r in got) and all(abs(r["n"] - r["target"]) <= 1 for r in got)
+
+
 def brute_shingles(rows):
     sets = {}
     for k, x in rows:
@@ -311,6 +376,48 @@ def test_ngram_jaccard_of_a_large_group(spark):
     assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == brute_shingles(rows)
 
 
+def test_ngram_jaccard_of_long_texts(spark):
+    """Sets of over a thousand shingles on both sides of the threshold, with sizes that differ."""
+    rng = random.Random(11)
+    base, rows = [f"w{rng.randrange(10**6)}" for _ in range(3000)], []
+    for share in (0.0, 0.01, 0.02, 0.022, 0.024, 0.03):
+        own = list(base)
+        for i in rng.sample(range(3000), int(3000 * share)):
+            own[i] = f"x{rng.randrange(10**9)}"
+        rows.append((len(rows), " ".join(own[: 3000 - 200 * (len(rows) % 3)])))
+    rows += [(100 + k, " ".join(f"y{k}z{i}" for i in range(1500))) for k in range(3)] + [(200, " ".join(base[400:] + [f"q{i}" for i in range(500)]))]
+    want = brute_shingles(rows)
+    got = by_id(near.op6(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == want
+    assert 1 < len({c for k, (_, c) in want.items() if k < 100}) < 6
+
+
+def test_ngram_jaccard_of_groups_with_equal_prefixes(spark, monkeypatch):
+    """Hundreds of sets of equal size and prefix: some linked with the group's hub, some only with each other, some with none."""
+    import numpy as np
+
+    monkeypatch.setattr(near, "frequency_classes", lambda sketch: np.zeros(len(sketch), np.uint8))  # shingles in order of their hashes
+    rng, kinds = random.Random(12), [[f"k{k}w{i}" for i in range(90)] for k in range(4)]
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for k in range(300):
+        own = shared + list(kinds[k % 4])
+        own[60 + rng.randrange(90)] = f"n{rng.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    got = by_id(near.op6(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))
+    assert {k: (v["n_shingles"], v["component_id"]) for k, v in got.items()} == brute_shingles(rows)
+
+
+def test_representatives_of_repeated_and_empty_rows(spark):
+    text = "one two three four five six seven"
+    rows = [(1, text, "a"), (1, text, "b"), (2, text, "c"), (None, text, "d"), (5, None, "e"), (5, None, "f"), (6, " ", "g"), (7, "other words in here now", "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__d` string").withColumns({c: F.lit(c) for c in ("d", "t", "place", "x", "row")})
+    got = near.representatives(docs)
+    assert got.columns == docs.columns
+    kept = sorted(r["__d"] for r in got.collect())
+    assert kept[1:] == ["e", "f", "g", "h"] and kept[0] in ("a", "b")  # a null doc_id is not the smallest
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7)], "a long, b long")
     got = {r["id"]: r["component"] for r in components.components(links).collect()}
@@ -330,6 +437,33 @@ def test_sharding(docs, rows):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and all(len(v) == 1 for v in of_text.values())
 
 
+def test_shards_have_nearly_equal_sizes(spark):
+    """The law: no shard is farther from an eighth of all bytes than a few units; with a group of a third of all rows, and with a third of the ids null."""
+    rng = random.Random(13)
+    text = lambda: "x" * rng.randint(1, 400)
+    for null in (False, True):
+        rows = [(None if null and k % 3 == 0 else k, "hot text " * 20 if k % 3 == 0 else f"{k} {text()}") for k in range(6000)]
+        got = sharding.op7(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        size, slots = Counter(), defaultdict(list)
+        for r in got:
+            size[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        mean = sum(size.values()) / 8
+        assert len(size) == 8 and max(abs(v - mean) for v in size.values()) < 0.02 * mean
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_packing_keeps_all_dimensions_near_their_capacity():
+    import numpy as np
+
+    rng = np.random.default_rng(14)
+    for _ in range(20):
+        units = np.stack([rng.lognormal(0, 1, 800), rng.lognormal(0, 1, 800), np.ones(800)], 1)
+        shard = sharding.place(units, 8)
+        loads = np.stack([np.bincount(shard, units[:, d], 8) for d in range(3)], 1) / units.sum(0) * 8
+        assert np.abs(loads[:, 0] - 1).max() < 0.05 and loads.max() < 1.6
+
+
 def test_quality(docs, rows):
     got = by_id(quality.op8(docs))
     for k, x, *_ in rows:
@@ -455,6 +589,13 @@ def test_empty_table(empty, name):
     assert OPS[name](empty).collect() == []
 
 
+def test_license_scan_of_null_and_repeated_ids(spark):
+    notice = "Released under the MIT License."
+    rows = [(None, notice), (None, None), (3, f"x {notice}"), (3, f"x {notice}"), (3, "other"), (-5, "")]
+    got = licenses.op4(spark.createDataFrame(rows, "doc_id long, text string").withColumn("template", F.lit(1))).collect()
+    assert Counter((r["doc_id"], r["start"], r["coverage"]) for r in got) == {(None, 0, 1.0): 1, (3, 2, 1.0): 2}
+
+
 @pytest.mark.parametrize("name", [n for n in OPS if n != "op4"])
 def test_null_and_repeated_ids(spark, name):
     rows = [(None, "some words in a text without an id"), (None, None), (3, "b c"), (3, "b c"), (3, "other words"), (-5, "")]
