@@ -45,10 +45,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Documents through all stages."""
+    """Documents through all stages; what a stage wrote for itself, and the table that it read, go when its result is written."""
     docs = queries.documents(ready(spark), sf_dir)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.table(docs, name.replace(" ", "-"))
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch.scope() as made:
+            out = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            made.remove(out)
+        scratch.drop(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)
