@@ -38,6 +38,30 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+#: The steps and options that are understood; the split's pattern, the end of a word, the vocabulary, merges and added tokens are the file's own.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = {"type": "Split", "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+ADDED = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+
+
+def unknown_options(spec: dict) -> list[str]:
+    """What a file has that would give other ids than this operator's."""
+    differs = lambda own, known: [f"{k} is {own.get(k)!r}" for k, v in known.items() if own.get(k) != v]
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    out = [] if ((spec.get("normalizer") or {}).get("normalizers")) == NORMALIZERS else ["normalizer"]
+    if len(steps) != 2:
+        return [*out, "pre_tokenizer"]
+    out += differs(steps[0], SPLIT) + differs(steps[1], BYTES) + differs(spec["model"], MODEL)
+    pattern = (steps[0].get("pattern") or {}).get("Regex")
+    blanks = " \t\n\x0b\x0c\r\x85\xa0\u2003\u2028\u3000"
+    if not pattern or any(c in m[0] for c in blanks for m in regex.finditer(pattern, c.join("a a1 !a 's 1! é".split(" ")) + c)):
+        out.append(f"split pattern {pattern!r}, which may find white space")
+    out += [f"added token {x['content']!r}: {w}" for x in spec["added_tokens"] for w in differs(x, ADDED)]
+    return out + [k for k in ("decoder", "post_processor") if spec.get(k)]
+
+
 @dataclass
 class Tokenizer:
     """What a worker needs: the sorted pair keys with rank and result, byte symbols, and the split patterns."""
@@ -55,10 +79,10 @@ class Tokenizer:
     def read(cls, path: str) -> Tokenizer:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        wrong = unknown_options(spec)
+        if wrong:
+            raise ValueError(f"not a word-level BPE file of the kind that this operator knows: {wrong}")
         model, steps = spec["model"], spec["pre_tokenizer"]["pretokenizers"]
-        kinds = [x["type"] for x in spec["normalizer"]["normalizers"]], [x["type"] for x in steps]
-        if model["type"] != "BPE" or kinds != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or spec["decoder"]:
-            raise ValueError("not a word-level BPE file of the kind that this operator knows")
         vocab, end = model["vocab"], model["end_of_word_suffix"] or ""
         letters, added = byte_letters(), {x["content"]: x["id"] for x in spec["added_tokens"]}
         names = vocab | added

@@ -561,6 +561,33 @@ def test_bpe_equals_the_library(spark, docs, rows):
         assert bytes(whole[k]["ids"]) == packed and whole[k]["decoded"] == decoded
 
 
+def test_bpe_refuses_files_with_other_options(tmp_path):
+    import json
+
+    spec = json.load(open(queries.tokenizer()))
+    assert bpe.unknown_options(spec) == []
+    steps = spec["pre_tokenizer"]["pretokenizers"]
+    changes = [
+        (spec["normalizer"]["normalizers"][1], "content", "_"),
+        (steps[0], "behavior", "Isolated"),
+        (steps[0], "invert", False),
+        (steps[0], "pattern", {"Regex": "\\S+\\s*"}),
+        (steps[1], "add_prefix_space", True),
+        (steps[1], "use_regex", True),
+        (spec["model"], "ignore_merges", True),
+        (spec["model"], "byte_fallback", True),
+        (spec["added_tokens"][0], "lstrip", True),
+        (spec, "decoder", {"type": "ByteLevel"}),
+    ]
+    for own, key, value in changes:
+        kept, own[key] = own[key], value
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec))
+        with pytest.raises(ValueError):
+            bpe.Tokenizer.read(str(path))
+        own[key] = kept
+
+
 def test_substring_dedup(docs, rows):
     split = {r[0]: WORD.findall(r[1] or "") for r in rows}
     seen = Counter(tuple(w[i : i + 35]) for w in split.values() for i in range(len(w) - 34))
@@ -610,14 +637,46 @@ def test_oracles(spark, name):
 
 
 def test_pipeline(spark):
-    """The stages by their own brute-force versions: what quality keeps, without repeated lines, one of each component, mixed, encoded."""
+    """All rows of the pipeline, by the stages' own brute-force versions one after the other: what quality keeps, without repeated lines, one of each component, mixed, and encoded by the library."""
+    tokenizers = pytest.importorskip("tokenizers")
     sf = "/root/testdata/sf0.001"
     docs = queries.documents(spark, sf)
     kept = {r["doc_id"] for r in quality.op8(docs).where("kept").collect()}
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
     first = {r["doc_id"]: r["text"] for r in docs.collect() if r["doc_id"] in kept}
     second = {k: v[2] for k, v in brute_lines(first.items()).items()}
     third = {k: second[k] for k, (_, c) in brute_shingles(second.items()).items() if c == k}
-    got = spark.createDataFrame(corpus_pipeline.run(spark, sf).collect())
-    ids = {r["doc_id"] for r in got.collect()}
-    assert ids <= set(third) and len(ids) > 0.5 * len(third)
-    assert len(corpus_pipeline.STAGES) == 5 and [n for n, _ in pairwise([*corpus_pipeline.STAGES, ("", None)])]
+    assert 0.5 * len(first) < len(third) < len(first) and any(second[k] != first[k] for k in first)
+    taken = {r["doc_id"]: r["taken"] for r in mixing.op5(spark.createDataFrame([(k, x, sources[k]) for k, x in third.items()], "doc_id long, text string, source string")).collect()}
+    library = tokenizers.Tokenizer.from_file(queries.tokenizer())
+    library.no_truncation()
+    library.no_padding()
+    end = re.compile(r"(?:[\x20\x09-\x0D]*[^\x20\x09-\x0D]+)")
+    want = Counter()
+    for k, text in third.items():
+        n, left = len(WORD.findall(text)), taken[k]
+        while left > 0:
+            used = min(n, left)
+            own = text if used == n else "".join(end.findall(text)[:used])
+            ids = library.encode(own, add_special_tokens=False).ids
+            want[k, len(ids), b"".join(i.to_bytes(4, "little") for i in ids), library.decode(ids, skip_special_tokens=False)] += 1
+            left -= used
+    got = Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["decoded"]) for r in corpus_pipeline.run(spark, sf).collect())
+    assert got == want and sum(got.values()) > 50
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram jaccard join", "mixing sources", "bpe"]
+
+
+EXTRA = ["d", "t", "row", "x", "place", "votes", "gone", "id", "h1", "top", "__row", "__doc", "__h", "full", "part", "size", "a.b", "n_words"]
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]], ids=lambda f: f.__name__)
+def test_stages_on_empty_tables_nulls_and_clashing_columns(spark, stage):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    prose = " ".join(f"Word{k} and thing{k % 7}." if k % 9 == 0 else f"word{k} of plain" for k in range(60))
+    rows = [(None, prose, None, None, None), (1, None, "en", "a", 0), (2, "", "en", None, 0), (3, prose, "en", "b", 9), (3, prose, "en", "b", 9), (4, prose + "\n" + prose[::-1], None, "a", 1)]
+    for own in (rows, []):
+        docs = spark.createDataFrame(own, schema).withColumns({c: F.lit("z") for c in EXTRA})
+        out = stage(spark, docs, "/none")
+        assert out.columns == docs.columns
+        found = out.collect()
+        assert all(r["a.b"] == "z" and r["votes"] == "z" for r in found) and (found or not own or stage.__name__ == "quality_rules")
