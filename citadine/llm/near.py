@@ -203,7 +203,12 @@ def prefix_sql(n: str) -> str:
 
 def fits(a: str, b: str) -> str:
     """Sizes of two sets that may be linked."""
-    return f"5L * least({a}, {b}) >= 4L * greatest({a}, {b})"
+    return f"5 * least({a}, {b}) >= 4 * greatest({a}, {b})"
+
+
+def enough(shared: str, rest: str, a: str, b: str) -> str:
+    """Whether so many shared prefix shingles can be of linked sets of these sizes, of which ``rest`` shingles at most are outside the prefix: shared >= needed, without a division."""
+    return f"9 * ({shared} + {rest}) + 8 >= 4 * ({a} + {b}) + 8"
 
 
 def needed(a: str, b: str) -> str:
@@ -285,20 +290,21 @@ def linked(docs: DataFrame, rounds: int = 2) -> DataFrame:
         parted = held.join(own, held.gid == own.g).select("token", "gid", "n", "r", "i", "part")
         counted = parted.groupBy("token", "part").agg(F.count("*").alias("k")).groupBy("token").agg(F.sum("k").alias("all"), F.sum(F.col("k") * F.col("k")).alias("within"))
         parted = scratch.table(parted.join(counted.where("all * all > within").select("token"), "token", "left_semi"), "parted")
+        # cap: how many shingles that two prefixes share can be this one or behind it; rest: the shingles outside the prefix. Both are of a row, so that a pair costs a few additions
+        most = F.expr(f"least(r, {prefix_sql('n')} - i)") if last else F.col("r")
+        entry = parted.select("token", F.col("gid").alias("p"), "n", F.expr(f"int(n - {prefix_sql('n')})").alias("rest"), most.cast("int").alias("cap"), "part")
         if last:
             # the first shingle that two prefixes share has all others that they must share behind it, so only that far from the end are pairs looked for
-            early = parted.where(f"i + {fewest} <= {prefix_sql('n')} + 4")
-            other = early.select("token", F.col("gid").alias("q"), F.col("n").alias("m"), F.col("r").alias("s"), F.col("i").alias("j"), F.col("part").alias("part2"))
-            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2")) & F.expr(f"i + {needed('n', 'm')} <= {prefix_sql('n')} and j + {needed('n', 'm')} <= {prefix_sql('m')}")
+            entry = entry.where(f"cap + 4 >= {fewest}")
+            other = entry.select("token", F.col("p").alias("q"), F.col("n").alias("m"), F.col("rest").alias("rest2"), F.col("cap").alias("cap2"), F.col("part").alias("part2"))
+            apart = (F.col("p") < F.col("q")) & (F.col("part") != F.col("part2"))
         else:
-            early = parted
-            order = [F.lit(0.0) if turn else -F.col("r") / F.expr(prefix_sql("n")), F.xxhash64(F.lit(turn), "gid")]
-            first = parted.groupBy("token").agg(F.min(F.struct(*order, "gid", "n", "r", "part")).alias("first"))
-            other = first.select("token", F.col("first.gid").alias("q"), F.col("first.n").alias("m"), F.col("first.r").alias("s"), F.col("first.part").alias("part2"))
+            order = [F.lit(0.0) if turn else -F.col("cap") / (F.col("n") - F.col("rest")), F.xxhash64(F.lit(turn), "p")]
+            first = entry.groupBy("token").agg(F.min(F.struct(*order, "p", "n", "rest", "cap", "part")).alias("first"))
+            other = first.select("token", F.col("first.p").alias("q"), F.col("first.n").alias("m"), F.col("first.rest").alias("rest2"), F.col("first.cap").alias("cap2"), F.col("first.part").alias("part2"))
             apart = F.col("part") != F.col("part2")
-        pairs = early.withColumnRenamed("gid", "p").join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and least(r, s) >= {needed('n', 'm')}"))
-        pairs = pairs.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), F.expr(needed("n", "m")).alias("least"))
-        pairs = pairs.groupBy("p", "q").agg(F.count("*").alias("common"), F.min("least").alias("least"))
+        pairs = entry.join(other, "token").where(apart & F.expr(f"{fits('n', 'm')} and {enough('least(cap, cap2)', 'greatest(rest, rest2)', 'n', 'm')}"))
+        pairs = pairs.groupBy(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).agg(F.count("*").alias("common"), F.min(F.expr(needed("n", "m"))).alias("least"))
         if last:  # what was found at early places only is counted over the whole prefixes
             pairs = scratch.table(pairs, "pairs")
             tokens = lambda x, y: parted.groupBy(F.col("gid").alias(x)).agg(F.collect_list("token").alias(y))
