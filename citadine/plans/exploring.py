@@ -79,16 +79,39 @@ RELIEF = [(k, math.exp(-((k * CELL) ** 2) / (2 * SPREAD**2))) for k in OFFSETS]
 _w = ", ".join(f"({k}, {w!r}::DOUBLE)" for k, w in RELIEF)
 
 
-@query("planar_relief", sql(f"WITH k(o, w) AS (VALUES {_w}), b AS (SELECT CAST(floor(x / 200) AS BIGINT) AS cx, CAST(floor(y / 200) AS BIGINT) AS cy, sum(c) AS c FROM counts JOIN nodes USING (node_id) GROUP BY ALL), h AS (SELECT cx + o AS cx, cy, sum(c * w) AS v FROM b, k GROUP BY cx + o, cy), v AS (SELECT cx, cy + o AS cy, sum(v * w) AS v FROM h, k GROUP BY cx, cy + o) SELECT cx, cy, round(v, 4) AS v FROM v QUALIFY v >= 0.02 * max(v) OVER ()"))
-def planar_relief(spark, d):
-    """Incidents in square cells, smoothed by two one-dimensional passes, without what is below two per cent of the top."""
+_relief = f"k(o, w) AS (VALUES {_w}), b AS (SELECT CAST(floor(x / 200) AS BIGINT) AS cx, CAST(floor(y / 200) AS BIGINT) AS cy, sum(c) AS c FROM counts JOIN nodes USING (node_id) GROUP BY ALL), h AS (SELECT cx + o AS cx, cy, sum(c * w) AS v FROM b, k GROUP BY cx + o, cy), v AS (SELECT cx, cy + o AS cy, sum(v * w) AS v FROM h, k GROUP BY cx, cy + o)"
+
+
+def relief(spark, d):
+    """Incidents in square cells, smoothed by two one-dimensional passes."""
     binned = counts(spark, d).join(nodes(spark, d).select("node_id", "x", "y"), "node_id").groupBy(F.floor(F.col("x") / CELL).alias("cx"), F.floor(F.col("y") / CELL).alias("cy")).agg(F.sum("c").alias("v"))
     weights = F.array(*[F.struct(F.lit(k).alias("o"), F.lit(w).alias("w")) for k, w in RELIEF])
     for c, other in (("cx", "cy"), ("cy", "cx")):
         spread = binned.withColumn("k", F.explode(weights)).select((F.col(c) + F.col("k.o")).alias(c), other, (F.col("v") * F.col("k.w")).alias("v"))
         binned = spread.groupBy(c, other).agg(F.sum("v").alias("v"))
-    top = binned.agg(F.max("v").alias("top"))
-    return binned.crossJoin(F.broadcast(top)).where("v >= 0.02 * top").select("cx", "cy", F.round("v", 4).alias("v"))
+    return binned
+
+
+@query("planar_relief", sql(f"WITH {_relief} SELECT cx, cy, round(v, 4) AS v FROM v QUALIFY v >= 0.02 * max(v) OVER ()"))
+def planar_relief(spark, d):
+    """The relief without what is below two per cent of the top."""
+    cells = relief(spark, d)
+    top = cells.agg(F.max("v").alias("top"))
+    return cells.crossJoin(F.broadcast(top)).where("v >= 0.02 * top").select("cx", "cy", F.round("v", 4).alias("v"))
+
+
+_slope = "(coalesce((SELECT v FROM v n WHERE n.cx = v.cx + {0} AND n.cy = v.cy + {1}), 0) - coalesce((SELECT v FROM v n WHERE n.cx = v.cx - {0} AND n.cy = v.cy - {1}), 0)) / 400"
+
+
+@query("relief_gradient", sql(f"WITH {_relief} SELECT cx, cy, round({_slope.format(1, 0)}, 6) AS gx, round({_slope.format(0, 1)}, 6) AS gy FROM v"))
+def relief_gradient(spark, d):
+    """Central differences of the relief, which is 0 where it has no cell. Each cell tells its neighbours its height, so the cells are joined with nothing."""
+    told = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    heard = relief(spark, d).withColumn("k", F.explode(told)).select((F.col("cx") + F.col("k.x")).alias("cx"), (F.col("cy") + F.col("k.y")).alias("cy"), "k", "v")
+    # a cell hears from its right neighbour, which tells its left one
+    of = lambda x, y: F.coalesce(F.sum(F.when((F.col("k.x") == x) & (F.col("k.y") == y), F.col("v"))), F.lit(0.0))
+    cells = heard.groupBy("cx", "cy").agg(F.count_if((F.col("k.x") == 0) & (F.col("k.y") == 0)).alias("own"), ((of(-1, 0) - of(1, 0)) / (2 * CELL)).alias("gx"), ((of(0, -1) - of(0, 1)) / (2 * CELL)).alias("gy"))
+    return cells.where("own > 0").select("cx", "cy", F.round("gx", 6).alias("gx"), F.round("gy", 6).alias("gy"))
 
 
 @query("stream_day_counts", "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from citadine.functions.statistics import location_quotient
-from citadine.operators import describing, embedding, network
+from citadine.operators import chain, describing, embedding, network
 from citadine.plans.registry import query
 from citadine.plans.surrogate import counts, nodes, pois, sql, table, zone_edges, zone_pois
 
@@ -28,11 +28,10 @@ def structural_descriptor(spark, d):
     return descriptors(spark, d).select("zone", *[F.round(c, 6).alias(c) for c in DIMS])
 
 
-@query("minmax_normalize", sql(f"WITH {STRUCT}, sr AS (SELECT zone, " + ", ".join(f"round({c}, 9) AS {c}" for c in ("log_nodes", "gyration", "mean_degree", "elongation")) + " FROM sd) SELECT zone, " + ", ".join(f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) ELSE 0 END AS {c}" for c in ("log_nodes", "gyration", "mean_degree", "elongation")) + " FROM sr"))
+@query("minmax_normalize", sql(f"WITH {STRUCT}, sr AS (SELECT zone, " + ", ".join(f"round({c}, 9) AS {c}" for c in DIMS) + " FROM sd) SELECT zone, " + ", ".join(f"CASE WHEN max({c}) OVER () > min({c}) OVER () THEN round(({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()), 6) ELSE 0 END AS {c}" for c in DIMS) + " FROM sr"))
 def minmax_normalize(spark, d):
-    own = ["log_nodes", "gyration", "mean_degree", "elongation"]
-    rounded = descriptors(spark, d).select("zone", *[F.round(c, 9).alias(c) for c in own])
-    return describing.minmax(rounded, own).select("zone", *[F.round(c, 6).alias(c) for c in own])
+    rounded = descriptors(spark, d).select("zone", *[F.round(c, 9).alias(c) for c in DIMS])
+    return describing.minmax(rounded, DIMS).select("zone", *[F.round(c, 6).alias(c) for c in DIMS])
 
 
 ROADS = ["highway", "avenue", "street", "lane"]
@@ -132,16 +131,18 @@ def long_embeddings(spark, d):
 Z = "z AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS dim FROM embeddings), s AS (SELECT vec_id, dim, CASE WHEN stddev_pop(v) OVER w > 1e-12 THEN (v - avg(v) OVER w) / stddev_pop(v) OVER w ELSE 0 END AS v FROM z WINDOW w AS (PARTITION BY dim))"
 
 
-@query("zscore_block", f"WITH {Z} SELECT vec_id, round(sum(v * (dim + 1)), 4) AS total FROM s GROUP BY vec_id")
+@query("zscore_block", f"WITH {Z} SELECT vec_id, dim, round(v, 6) AS v FROM s")
 def zscore_block(spark, d):
-    return describing.zscores(long_embeddings(spark, d), "dim", "v").groupBy("vec_id").agg(F.round(F.sum(F.col("v") * (F.col("dim") + 1)), 4).alias("total"))
+    return describing.zscores(long_embeddings(spark, d), "dim", "v").select("vec_id", "dim", F.round("v", 6).alias("v"))
 
 
-@query("fuse_blocks", f"WITH {Z} SELECT vec_id, round(sum(CASE WHEN dim < 16 THEN v * 2 / sqrt(16) ELSE v * 0.5 / sqrt(48) END * (dim + 1)), 4) AS total FROM s GROUP BY vec_id")
+@query("fuse_blocks", f"WITH {Z} SELECT vec_id, dim, round(CASE WHEN dim < 16 THEN v * 2 / sqrt(16) ELSE v * 0.5 / sqrt(48) END, 6) AS v FROM s")
 def fuse_blocks(spark, d):
-    v = describing.zscores(long_embeddings(spark, d), "dim", "v")
-    weighted = F.when(F.col("dim") < 16, F.col("v") * 2 / 4.0).otherwise(F.col("v") * 0.5 / F.sqrt(F.lit(48.0)))
-    return v.groupBy("vec_id").agg(F.round(F.sum(weighted * (F.col("dim") + 1)), 4).alias("total"))
+    """Two blocks of the vectors, standardised, weighted and joined again."""
+    whole = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.slice("embedding", 1, 16).alias("near"), F.slice("embedding", 17, 48).alias("far"))
+    blocks = whole.select("id", *[F.transform(c, lambda v: v.cast("double")).alias(c) for c in ("near", "far")])
+    vectors = chain.fused(blocks, {"near": 2.0, "far": 0.5})
+    return vectors.select(F.col("id").alias("vec_id"), F.posexplode("vector").alias("dim", "v")).select("vec_id", "dim", F.round("v", 6).alias("v"))
 
 
 def nearest(spark, d, distinct_label: bool):
@@ -168,12 +169,14 @@ def jaccard_pairs(spark, d):
     return describing.jaccard_pairs(baskets, "k", "i", 2).withColumn("jaccard", F.round("jaccard", 6))
 
 
-@query("wl_labels", sql("""WITH za AS (SELECT zone, u AS src, v AS dst FROM zone_edges UNION ALL SELECT zone, v, u FROM zone_edges), l0 AS (SELECT n.zone, n.node_id, 'd' || count(a.dst) AS label FROM nodes n LEFT JOIN za a ON a.src = n.node_id GROUP BY n.zone, n.node_id),
-  l1 AS (SELECT l.zone, l.node_id, l.label || '|' || coalesce(string_agg(o.label, ',' ORDER BY o.label), '') AS label FROM l0 l LEFT JOIN za a ON a.src = l.node_id LEFT JOIN l0 o ON o.node_id = a.dst GROUP BY l.zone, l.node_id, l.label),
-  l2 AS (SELECT l.zone, l.node_id, l.label || '|' || coalesce(string_agg(o.label, ',' ORDER BY o.label), '') AS label FROM l1 l LEFT JOIN za a ON a.src = l.node_id LEFT JOIN l1 o ON o.node_id = a.dst GROUP BY l.zone, l.node_id, l.label)
-  SELECT zone, 0 AS round, count(DISTINCT label) AS labels FROM l0 GROUP BY zone UNION ALL SELECT zone, 1, count(DISTINCT label) FROM l1 GROUP BY zone UNION ALL SELECT zone, 2, count(DISTINCT label) FROM l2 GROUP BY zone"""))
+def _refined(k: int) -> str:
+    return f"l{k} AS (SELECT l.zone, l.node_id, substr(sha256(l.label || '|' || coalesce(string_agg(o.label, ',' ORDER BY o.label), '')), 1, 16) AS label FROM l{k - 1} l LEFT JOIN za a ON a.src = l.node_id LEFT JOIN l{k - 1} o ON o.node_id = a.dst GROUP BY l.zone, l.node_id, l.label)"
+
+
+@query("wl_labels", sql(f"""WITH za AS (SELECT zone, u AS src, v AS dst FROM zone_edges UNION ALL SELECT zone, v, u FROM zone_edges), l0 AS (SELECT n.zone, n.node_id, 'd' || count(a.dst) AS label FROM nodes n LEFT JOIN za a ON a.src = n.node_id GROUP BY n.zone, n.node_id),
+  {_refined(1)}, {_refined(2)} SELECT zone, node_id, 0 AS round, label FROM l0 UNION ALL SELECT zone, node_id, 1, label FROM l1 UNION ALL SELECT zone, node_id, 2, label FROM l2"""))
 def wl_labels(spark, d):
-    return zone_labels(spark, d, 2).groupBy("zone", "round").agg(F.count_distinct("label").alias("labels"))
+    return zone_labels(spark, d, 2).select("zone", "node_id", "round", "label")
 
 
 def zone_arcs(spark, d):

@@ -139,18 +139,18 @@ def fallback_points(spark, d):
 
 @query(
     "without_fallback_points",
-    "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE (l_suppkey, l_linenumber) NOT IN (SELECT (l_suppkey, l_linenumber) FROM lineitem GROUP BY l_suppkey, l_linenumber HAVING count(*) >= 30 AND count(DISTINCT l_partkey) >= 20) GROUP BY ALL",
+    "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE (l_suppkey, l_linenumber) NOT IN (SELECT (l_suppkey, l_linenumber) FROM lineitem GROUP BY l_suppkey, l_linenumber HAVING count(*) >= 88 AND count(DISTINCT l_partkey) >= 20) GROUP BY ALL",
 )
 def without_fallback_points(spark, d):
     rows = table(spark, d, "lineitem").withColumn("address", F.col("l_partkey").cast("string"))
-    flagged = ingest.fallback_points(rows, ["l_suppkey", "l_linenumber"], "address", 30, 20)
+    flagged = ingest.fallback_points(rows, ["l_suppkey", "l_linenumber"], "address", 88, 20)
     return rows.join(flagged, ["l_suppkey", "l_linenumber"], "left_anti").groupBy("l_returnflag").agg(F.count("*").alias("n"))
 
 
 @query(
     "normalize_address",
-    "SELECT page_id, trim(regexp_replace(translate(lower(url), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy'), '[^a-z0-9]+', ' ', 'g')) AS address FROM pages "
-    "UNION ALL SELECT -1 - doc_id, trim(regexp_replace(translate(lower(text), 'áàâäãåéèêëíìîïóòôöõúùûüñçý', 'aaaaaaeeeeiiiiooooouuuuncy'), '[^a-z0-9]+', ' ', 'g')) FROM documents",
+    "SELECT page_id, trim(regexp_replace(strip_accents(lower(url)), '[^a-z0-9]+', ' ', 'g')) AS address FROM pages "
+    "UNION ALL SELECT -1 - doc_id, trim(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', ' ', 'g')) FROM documents",
 )
 def normalize_address(spark, d):
     a = table(spark, d, "pages").select("page_id", parsing.plain_address(F.col("url")).alias("address"))
