@@ -29,7 +29,7 @@ def arcs(spark, d):
 
 def hotspots(spark, d, method="fixed", **options):
     own = counts(spark, d)
-    parameters = {"method": method, **{k: v for k, v in options.items() if k != "null_max"}, "alpha": 0.15, "floor": 0.2, "sigma": SIGMA}
+    parameters = {"method": method, **{k: v for k, v in options.items() if k != "null_max"}, "replicates": 19, "alpha": 0.15, "floor": 0.2, "sigma": SIGMA}
     build = lambda: chain.records(segmented(spark, d), own, kinds(spark, d), edges(spark, d), nodes(spark, d).count(), method, **(options or {"k": 20}))
     return storage.cached(spark, "hotspot-records", parameters, [own, edges(spark, d)], build)
 
@@ -46,7 +46,7 @@ def hotspot_records_percentile(spark, d):
 
 @query("hotspot_records_montecarlo")
 def hotspot_records_montecarlo(spark, d):
-    null = storage.saved(null_maxima(spark, d, 19).select("mes", "value"), "null-maxima")
+    null = null_maxima(spark, d, 19).select("mes", "value")
     return hotspots(spark, d, "montecarlo", null_max=null, alpha=0.06, min_k=1, max_k=50).drop("by_category")
 
 
