@@ -42,7 +42,7 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def sharded(docs: DataFrame, shards: int = 8, buckets: int = 4096, slice_rows: int = 65536) -> DataFrame:
+def sharded(docs: DataFrame, shards: int = 8, buckets: int = 4096, slice_rows: int = 1024) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
