@@ -373,3 +373,63 @@ def benchmark_tests(scores: DataFrame, base: str = "topo") -> DataFrame:
     own = long.where(F.col("method") == base).crossJoin(F.broadcast(names)).select(F.col("other").alias("method"), "measure", "value", F.lit("a").alias("grp"))
     u = tracking.rank_sums(own.unionByName(others), ["method", "measure"], "grp", "value")
     return u.select("method", "measure", "u", F.round(tracking.u_p("u", "n_a", "n_b", "ties"), 6).alias("p"))
+
+
+# picking and comparing
+
+
+#: Shapes to show, each with what it must be and by what it is best, over the scaled descriptors, shares of road classes and sizes.
+ARCHETYPES = (
+    ("dyad", "n_nodes = 2", "-n_edges"),
+    ("short chain", "n_nodes between 3 and 4 and n_edges = n_nodes - 1 and elongation < 0.25", "elongation"),
+    ("corridor", "n_nodes >= 9 and n_edges <= n_nodes + 1 and elongation < 0.3", "elongation, -n_nodes"),
+    ("star", "degree_1 >= 0.45 and mean_degree < 0.45 and n_nodes between 4 and 10", "-degree_1"),
+    ("ring", "degree_2 >= 0.75 and abs(n_edges - n_nodes) <= 1 and n_nodes >= 6", "-degree_2"),
+    ("tree", "n_edges = n_nodes - 1 and degree_3 + degree_4 >= 0.18 and n_nodes >= 7", "-(degree_3 + degree_4)"),
+    ("compact grid", "n_nodes between 8 and 28 and density >= 0.1 and mean_degree >= 0.45 and elongation >= 0.55", "-density, -elongation"),
+    ("large grid", "n_nodes >= 45 and mean_degree >= 0.45", "-n_nodes, -mean_degree"),
+    ("comb", "degree_1 >= 0.3 and degree_3 >= 0.18 and n_nodes >= 8", "-(degree_1 * degree_3)"),
+    ("mixed roads", "dominance <= 0.62 and major > 0 and n_nodes >= 8", "dominance"),
+)
+
+
+def archetypes(spots: DataFrame, matrix: DataFrame, major: int = 2) -> DataFrame:
+    """archetype and id: for each shape the best hotspot that no earlier one took, of those that five others share a node with, else one other, else none; a taken one rather than none of the shape, and any free one
+    where there is none. ``major`` is how many of the first road classes count as major roads.
+
+    At most as many hotspots are taken as there are shapes, so the best few of each shape and tier are all that comes to the driver."""
+    own = members(spots)
+    again = own.join(own.select(F.col("id").alias("other"), "node_id"), "node_id").where("id <> other").groupBy("id").agg(F.count_distinct("other").alias("same"))  # a node is in one hotspot of a month at most
+    rows = matrix.select("id", *[F.element_at("structural", k + 1).alias(c) for k, c in enumerate(STRUCTURE)], F.element_at("hierarchy", -1).alias("dominance"), F.aggregate(F.slice("hierarchy", 1, major), F.lit(0.0), lambda s, v: s + v).alias("major"))
+    rows = rows.join(spots.select("id", "n_nodes", F.size("edges").alias("n_edges")), "id").join(again, "id", "left").fillna(0, ["same"])
+    tier = F.when(F.col("same") >= 5, 0).when(F.col("same") >= 1, 1).otherwise(2)
+    rows = storage.saved(rows.withColumn("tier", tier), "shapes")
+    few = len(ARCHETYPES)
+    first = [r["id"] for r in rows.orderBy("id").select("id").limit(few).collect()]
+    taken: list[tuple[str, str]] = []
+    used: set[str] = set()
+    for name, what, best in ARCHETYPES:
+        by = [F.expr(x) for x in best.split(", ")]
+        fit = rows.where(what)
+        ranked = fit.withColumn("n", F.row_number().over(Window.partitionBy("tier").orderBy(*by, "id"))).where(F.col("n") <= few).orderBy("tier", "n").select("id").collect()
+        any_ = [r["id"] for r in fit.orderBy(*by, "id").select("id").limit(1).collect()]
+        free = [r["id"] for r in ranked if r["id"] not in used] or any_ or [x for x in first if x not in used] or first[:1]
+        if free:
+            used.add(free[0])
+            taken.append((name, free[0]))
+    return spots.sparkSession.createDataFrame(taken, "archetype string, id string")
+
+
+def pair(spots: DataFrame, profiles: DataFrame, categories: list[str], months: list[str], a: str, b: str) -> DataFrame:
+    """What two hotspots have: part, name, a, b, delta and side (both, only a, only b), for incidents, kinds of incidents, each month's incidents, places by category and the entropy of places."""
+    both = spots.where(F.col("id").isin(a, b)).withColumn("hot", F.when(F.col("id") == a, "a").otherwise("b"))
+    around = profiles.where(F.col("id").isin(a, b)).withColumn("hot", F.when(F.col("id") == a, "a").otherwise("b"))
+    listed = lambda names: F.array(*[F.lit(x) for x in names])
+    zipped = lambda df, part, names, column: df.select("hot", F.lit(part).alias("part"), F.explode(F.arrays_zip(listed(names).alias("name"), F.col(column).alias("v"))).alias("z")).select("hot", "part", "z.name", F.col("z.v").cast("double").alias("v"))
+    long = both.select("hot", F.lit("incidents").alias("part"), F.lit("all").alias("name"), F.col("crimes").cast("double").alias("v"))
+    long = long.unionByName(both.select("hot", F.lit("kind").alias("part"), F.explode("by_category").alias("name", "v")).withColumn("v", F.col("v").cast("double")))
+    long = long.unionByName(zipped(both, "month", months, "series")).unionByName(zipped(around, "places", categories, "counts"))
+    long = long.unionByName(around.select("hot", F.lit("entropy").alias("part"), F.lit("places").alias("name"), F.col("entropy").alias("v")))
+    side = lambda h: F.coalesce(F.sum(F.when(F.col("hot") == h, F.col("v"))), F.lit(0.0))
+    out = long.groupBy("part", "name").agg(side("a").alias("a"), side("b").alias("b"))
+    return out.withColumn("delta", F.col("a") - F.col("b")).withColumn("side", F.when((F.col("a") > 0) & (F.col("b") == 0), "only a").when((F.col("b") > 0) & (F.col("a") == 0), "only b").otherwise("both"))

@@ -12,6 +12,7 @@ from citadine.plans.registry import query
 from citadine.plans.surrogate import counts, edges, incidents, nodes, pois
 
 ROADS = ["highway", "avenue", "street", "lane"]
+KINDS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 
 
 def roads(spark, d):
@@ -96,8 +97,7 @@ def hotspot_clusters(spark, d):
 def profiles(spark, d):
     own, _ = shapes(spark, d)
     named = pois(spark, d).select("x", "y", F.substring_index("category", " ", 1).alias("category"), "year")
-    kinds = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-    return chain.place_profiles(hotspots(spark, d), own, named, kinds, nodes(spark, d).count())
+    return chain.place_profiles(hotspots(spark, d), own, named, KINDS, nodes(spark, d).count())
 
 
 @query("hotspot_places")
@@ -105,6 +105,19 @@ def hotspot_places(spark, d):
     return profiles(spark, d)
 
 
+@query("hotspot_archetypes")
+def hotspot_archetypes(spark, d):
+    return chain.archetypes(hotspots(spark, d), chain.blocks(*shapes(spark, d), ROADS, "netlsd", dimensions=8))
+
+
+@query("hotspot_pair")
+def hotspot_pair(spark, d):
+    """The first hotspot of the first month against that of the last one."""
+    ends = hotspots(spark, d).where("id like '%_h01'").agg(F.min("id").alias("a"), F.max("id").alias("b")).first()
+    named = [r["mes"] for r in counts(spark, d).select("mes").distinct().orderBy("mes").collect()]  # one row per month
+    return chain.pair(hotspots(spark, d), profiles(spark, d), KINDS, named, ends["a"], ends["b"])
+
+
 def tracks(spark, d):
     return chain.trajectories(hotspots(spark, d), counts(spark, d))
 

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+VERSION = 2  # of what is computed; a higher one leaves the tables of the lower ones alone
+
 
 def folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -45,7 +47,7 @@ def cached(spark: SparkSession, name: str, parameters: dict, inputs: list[DataFr
     """The table of this name, parameters and input rows if it is there, else built and written. A changed input or parameter is another table, so none is ever stale.
 
     Writers that race each write their own folder; the one whose folder gets the final name first is read by all."""
-    key = hashlib.sha256(json.dumps([parameters, [fingerprint(x) for x in inputs]], sort_keys=True, default=str).encode()).hexdigest()[:24]
+    key = hashlib.sha256(json.dumps([VERSION, parameters, [fingerprint(x) for x in inputs]], sort_keys=True, default=str).encode()).hexdigest()[:24]
     at = f"{folder(spark)}/{name}-{key}"
     try:
         return spark.read.parquet(at)

@@ -162,6 +162,37 @@ def test_place_profiles(spark, spots, city):
     assert any(r["total"] == 0 and r["entropy"] == 0.0 and r["counts"] == [0, 0, 0] for r in got.values())
 
 
+def test_archetypes_take_each_hotspot_once_while_there_are_others(spark):
+    rng = random.Random(8)
+    spots, matrix = [], []
+    for k in range(60):
+        n = rng.choice([2, 3, 4, 8, 9, 12, 20, 50])
+        m = n - 1 + rng.choice([0, 0, 1, 5])
+        spots.append((f"2020-{1 + k % 9:02d}_h{k:02d}", f"2020-{1 + k % 9:02d}", [rng.randrange(300) for _ in range(n)], [(i, i + 1) for i in range(m)], n))
+        matrix.append((spots[-1][0], [rng.random() for _ in range(12)], [rng.random() for _ in range(5)]))
+    s = spark.createDataFrame(spots, "id string, mes string, nodes array<long>, edges array<struct<u:long,v:long>>, n_nodes int")
+    got = [(r["archetype"], r["id"]) for r in chain.archetypes(s, spark.createDataFrame(matrix, "id string, structural array<double>, hierarchy array<double>")).collect()]
+    nodes = {x[0]: set(x[2]) for x in spots}
+    same = {a: sum(bool(nodes[a] & nodes[b]) for b in nodes if b != a) for a in nodes}
+    of = {h: dict(zip(chain.STRUCTURE, v)) | {"n_nodes": x[4], "n_edges": len(x[3]), "dominance": r[-1], "major": r[0] + r[1]} for x, (h, v, r) in zip(spots, matrix)}
+    python = lambda e, h: eval(e.replace("n_nodes between 3 and 4", "3 <= n_nodes <= 4").replace("n_nodes between 4 and 10", "4 <= n_nodes <= 10").replace("n_nodes between 8 and 28", "8 <= n_nodes <= 28").replace(" = ", " == "), {}, of[h])  # noqa: E731, S307
+    used = set()
+    for (name, what, best), (label, chosen) in zip(chain.ARCHETYPES, got, strict=True):
+        fit = sorted((h for h in of if python(what, h)), key=lambda h: (*(python(x, h) for x in best.split(", ")), h))
+        tiers = [[h for h in fit if h not in used and same[h] >= least] for least in (5, 1, 0)]
+        want = next((t[0] for t in tiers if t), fit[0] if fit else next(h for h in sorted(of) if h not in used))
+        assert (label, chosen) == (name, want)
+        used.add(chosen)
+
+
+def test_pair_of_hotspots(spark, spots, city):
+    a, b = (next(r for r in spots.collect() if r["nodes"] == SPOTS[k]) for k in ("2020-01_h01", "2020-02_h02"))
+    profiles = spark.createDataFrame([(a["id"], [2, 0], 0.5), (b["id"], [1, 3], 0.25)], "id string, counts array<long>, entropy double")
+    got = {(r["part"], r["name"]): (r["a"], r["b"], r["delta"], r["side"]) for r in chain.pair(spots, profiles, ["bank", "food"], ["2020-01", "2020-02", "2020-03"], a["id"], b["id"]).collect()}
+    assert got["incidents", "all"][:3] == (a["crimes"], b["crimes"], a["crimes"] - b["crimes"]) and got["places", "food"] == (0.0, 3.0, -3.0, "only b") and got["entropy", "places"][2] == 0.25
+    assert [got["month", m][0] for m in ("2020-01", "2020-02", "2020-03")] == a["series"] and got["kind", "a"][0] == a["by_category"].get("a", 0)
+
+
 def test_steps_along_the_network(spark, city):
     pairs = [(a, b) for a, b in itertools.product((0, 7, 20), (0, 1, 14, 35, 99))]
     got = {(r["a"], r["b"]): r["metres"] for r in chain.steps(spark.createDataFrame(pairs, "a long, b long"), city.arcs, 500.0).collect()}
@@ -302,6 +333,14 @@ def test_cached_tables_follow_their_inputs(spark):
     assert len(made) == 3
 
 
+def test_a_cluster_needs_a_shared_folder(spark):
+    conf = lambda **own: types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, default=None: own.get(k.replace(".", "_"), default)))
+    assert storage.folder(conf(spark_checkpoint_dir="hdfs://x/y/")) == "hdfs://x/y" and storage.folder(conf(spark_master="local[4]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,3000]", ""):
+        with pytest.raises(ValueError):
+            storage.folder(conf(spark_master=master))
+
+
 # settings and commands
 
 
