@@ -80,14 +80,12 @@ class Runs:
         return merged(self.runs()).where(F.col("n") >= self.enough).select(*KEY, "top")
 
 
-def run_of(rows: DataFrame, name: str, buckets: int, partition_by: tuple[str, ...] = ()) -> DataFrame:
-    """A table in the shared folder, bucketed and sorted by key; rows come dealt by key into so many partitions, so a bucket is one file."""
+def run_of(rows: DataFrame, name: str, buckets: int, first: tuple[str, ...] = ()) -> DataFrame:
+    """A table in the shared folder, bucketed by key and sorted by the columns ``first``, then by key; rows come dealt by key into so many partitions, so a bucket is one file."""
     spark, table = rows.sparkSession, f"citadine_{name}_{uuid.uuid4().hex}"
     at = scratch.path(spark, name)
     writer = rows.write.format("parquet").option("path", at).option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.bucketBy(buckets, *KEY).sortBy(*KEY).saveAsTable(table)
+    writer.bucketBy(buckets, *KEY).sortBy(*first, *KEY).saveAsTable(table)
     return scratch.owned(spark.table(table), at, table)
 
 
@@ -108,6 +106,7 @@ def repeated_lines(lines: DataFrame, min_docs: int = 5, batches: int | None = No
     for k, cut in reversed(list(enumerate(cuts))):
         batch = F.when(F.col("doc_id") > cut, k).otherwise(batch)
     counted = lines.groupBy(batch.alias("batch"), *KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("top"))
+    # All batches of a bucket are one file: on a local disk without its native library Hadoop starts a chmod for each new folder and two for each new file.
     deltas = run_of(counted.repartition(buckets, *KEY), "batches", buckets, ("batch",))
     store = Runs(fanout, min_docs, buckets)
     for k in range(len(cuts) + 1):

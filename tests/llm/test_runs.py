@@ -26,6 +26,21 @@ def test_ten_batches_with_a_fanout_of_two(spark):
     assert got == wanted(own, 5) and len(got) > 50
 
 
+def test_a_bucket_of_all_batches_is_one_file(spark, monkeypatch):
+    own, lines = lines_of(spark, random.Random(5), 400, 300)
+    files, run_of = {}, runs.run_of
+
+    def counting(rows, name, *rest):
+        out = run_of(rows, name, *rest)
+        files.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(runs, "run_of", counting)
+    got = {r["h1"]: r["top"] for r in runs.repeated_lines(lines, 5, batches=10).collect()}
+    assert got == wanted(own, 5)
+    assert files["batches"] == [8] and len(files["run0"]) == 10
+
+
 def test_the_join_with_the_runs_decides(spark):
     """Each key has one top, written by the batch that brought it; settled keys get no further rows."""
     store, brought, seen = runs.Runs(fanout=3, enough=5, buckets=8), {}, defaultdict(int)
